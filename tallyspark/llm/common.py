@@ -9,11 +9,12 @@ no harm.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.session import reachable
+
 #: The six ASCII white-space characters.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -24,6 +25,7 @@ class Carried:
     """A DataFrame whose columns go by position: `col(name)` is an input column, `restore` the output."""
 
     def __init__(self, df: DataFrame):
+        reachable(df.sparkSession)
         self.names = df.columns
         self.df = df.toDF(*[f"__c{i}" for i in range(len(self.names))])
 
@@ -69,7 +71,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyspark-"))
     return df.checkpoint()
-
-
-def in_query(op: Callable[..., DataFrame], *columns: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: op(spark, documents(spark, sf_dir)).select(*columns)

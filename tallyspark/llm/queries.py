@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, sentencepiece_bpe, simhash_dedup
+from . import lm_scoring, line_dedup, sentencepiece_bpe, simhash_dedup, toxicity
 
 QUERIES = {
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_sentencepiece": sentencepiece_bpe.op3_sentencepiece,
     "op8_simhash_near_dedup": simhash_dedup.op8_simhash_near_dedup,
