@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import lm_scoring, line_dedup, sentencepiece_bpe, simhash_dedup, toxicity
+from . import decontamination, fingerprints, line_dedup, lm_scoring, secret_scan, sentencepiece_bpe, simhash_dedup, toxicity
 
 QUERIES = {
-    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
-    "op9_toxicity": toxicity.op9_toxicity,
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_sentencepiece": sentencepiece_bpe.op3_sentencepiece,
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
+    "op5_decontamination": decontamination.op5_decontamination,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
     "op8_simhash_near_dedup": simhash_dedup.op8_simhash_near_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
-ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE, "op6_secret_scan": secret_scan.ORACLE}
