@@ -9,6 +9,7 @@ no harm.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,13 +62,25 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder, its lineage cut.
+def _shared(spark: SparkSession) -> str:
+    """The folder for intermediate results, which the cluster names in `spark.checkpoint.dir`.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`; only where none is named, as in
-    tests on one machine, a temporary one is set.
+    Only where none is named, as in tests on one machine, a temporary one is set.
     """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyspark-"))
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder, its lineage cut; for rows without texts."""
+    _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder, compressed and by column; for rows with texts."""
+    path = f"{_shared(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

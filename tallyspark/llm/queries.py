@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, line_dedup, lm_scoring, secret_scan, sentencepiece_bpe, simhash_dedup, toxicity
+from . import chat_format, decontamination, fingerprints, license_scan, line_dedup, lm_scoring, secret_scan, sentencepiece_bpe, simhash_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_license_scan": license_scan.op2_license_scan,
     "op3_sentencepiece": sentencepiece_bpe.op3_sentencepiece,
     "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_decontamination": decontamination.op5_decontamination,
@@ -13,6 +14,7 @@ QUERIES = {
     "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
     "op8_simhash_near_dedup": simhash_dedup.op8_simhash_near_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_chat_format": chat_format.op10_chat_format,
 }
 
-ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE, "op6_secret_scan": secret_scan.ORACLE}
+ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE, "op6_secret_scan": secret_scan.ORACLE, "op10_chat_format": chat_format.ORACLE}

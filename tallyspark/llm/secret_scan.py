@@ -123,9 +123,9 @@ def _sql_spans(rule: Rule, place: int) -> str:
     pattern = rule.pattern.replace("'", "''")
     return f"""
   SELECT doc_id, {place} AS place, '{rule.kind}' AS kind, list_sum(gaps[:i]) + coalesce(list_sum(sizes[:i - 1]), 0) AS start, list_sum(gaps[:i]) + list_sum(sizes[:i]) AS stop
-  FROM (SELECT doc_id, list_transform(string_split_regex(t, '{pattern}'), x -> length(x)) AS gaps,
-      list_transform(regexp_extract_all(t, '{pattern}', 0), x -> length(x)) AS sizes,
-      unnest(list_transform(regexp_extract_all(t, '{pattern}', {rule.group}), x -> length(x))) AS took,
+  FROM (SELECT doc_id, list_transform(string_split_regex(t, '{pattern}'), lambda x: length(x)) AS gaps,
+      list_transform(regexp_extract_all(t, '{pattern}', 0), lambda x: length(x)) AS sizes,
+      unnest(list_transform(regexp_extract_all(t, '{pattern}', {rule.group}), lambda x: length(x))) AS took,
       generate_subscripts(regexp_extract_all(t, '{pattern}', 0), 1) AS i
     FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
   WHERE took >= {rule.least}"""
