@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from .common import ASCII_SPACE, Carried, ascii_lower, checkpointed, documents
 
 
+#: Parts into which the rows of one line are dealt when they meet what is known of it.
+SALTS = 16
+
+
+def _having(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Those of `rows` whose line is among `lines`.  A line may be in a third of all documents, so its rows are
+    dealt over `SALTS` tasks by their place."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")
+    salted = rows.withColumn("__salt", F.pmod(F.hash("__id", "__of", "__at"), F.lit(SALTS)))
+    return salted.join(lines.select("__h", "__g", salts), ["__h", "__g", "__salt"], "left_semi").drop("__salt")
+
+
 def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """`docs` without the lines found in at least `min_docs` documents.
 
@@ -33,9 +45,9 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.where(F.length("__key") >= max(1, min_chars))
     rows = rows.select("__id", "__of", "__at", F.xxhash64("__key").alias("__h"), F.xxhash64(F.lit(1), F.col("__key")).alias("__g"))
     often = rows.groupBy("__h", "__g").count().where(F.col("count") >= min_docs).drop("count")
-    rows = checkpointed(rows.join(often, ["__h", "__g"], "left_semi"))
+    rows = checkpointed(_having(rows, often))
     common = rows.select("__id", "__h", "__g").distinct().groupBy("__h", "__g").count().where(F.col("count") >= min_docs).drop("count")
-    gone = rows.join(common, ["__h", "__g"], "left_semi").groupBy("__id", "__of").agg(F.collect_set("__at").alias("__gone"))
+    gone = _having(rows, common).groupBy("__id", "__of").agg(F.collect_set("__at").alias("__gone"))
     gone = gone.select(doc.alias("__gone_id"), F.col("__of").alias("__gone_of"), "__gone")
     whole = c.df.withColumn("__of", F.xxhash64(text))
     joined = whole.join(gone, c.col(id_col).eqNullSafe(F.col("__gone_id")) & (F.col("__of") == F.col("__gone_of")), "left")
