@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import Carried, documents
 
 MARK = "▁"
-#: Entries of a worker's caches of chunks and of pairs, and the longest chunk that is kept there.
-CHUNKS, PAIRS, LONGEST = 400_000, 400_000, 48
+#: Entries of each of the two generations of a worker's cache of chunks, of its cache of pairs, and the longest chunk kept.
+CHUNKS, PAIRS, LONGEST = 500_000, 1_000_000, 48
+#: The rank of what is no piece.
+NONE = 1 << 40
 
 
 class Encoder:
@@ -34,7 +36,7 @@ class Encoder:
         every = range(p.get_piece_size())
         normal = [i for i in every if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
         self.ids = {p.id_to_piece(i): i for i in normal}
-        self.rank = {x: (-p.get_score(i), i) for x, i in self.ids.items()}
+        self.rank = {x: k for k, x in enumerate(sorted(self.ids, key=lambda x: (-p.get_score(self.ids[x]), self.ids[x])))}
         self.pieces = {i: x for x, i in self.ids.items()}
         self.single = {x for x in self.ids if len(x) == 1}
         unknown = {c for x in self.ids for c in x} - self.single
@@ -46,65 +48,95 @@ class Encoder:
             self.automaton.add_word(x, (len(x), i))
         self.automaton.make_automaton()
         self.chunks: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging leaves: always the best-ranked pair of neighbours, the leftmost among equals."""
-        parts, rank = list(text), self.rank
-        while len(parts) > 1:
-            best, at = min(((rank.get(a + b, (float("inf"), 0)), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))))
-            if best[0] == float("inf"):
+        parts, rank = list(text), self.rank.get
+        value = [rank(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while value:
+            best = min(value)
+            if best == NONE:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            at = value.index(best)
+            parts[at] += parts.pop(at + 1)
+            del value[at]
+            if at:
+                value[at - 1] = rank(parts[at - 1] + parts[at], NONE)
+            if at < len(value):
+                value[at] = rank(parts[at] + parts[at + 1], NONE)
         return parts
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+        key = a << 32 | b
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             x, y = self.pieces[a], self.pieces[b]
-            known = self.pairs[a, b] = self.merged(x + y) == [x, y]
+            known = self.pairs[key] = self.merged(x + y) == [x, y]
         return known
 
     def _segment(self, text: str) -> list[int]:
         """Ids of a text all of whose characters are pieces."""
-        n = len(text)
-        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (length, i) in self.automaton.iter(text):
-            at[end + 1 - length].append((length, i))  # matches come by their end, so the longest is last
-        failed, pos = 0, 0
+        seen, compatible = self.pairs.get, self.compatible
         out: list[int] = []
-        rest = [len(at[0])]  # for each open position: how many of its pieces are still to be tried
-        starts = [0]
+        last, done = -1, 0
+        for _, (length, i) in self.automaton.iter_long(text):  # the longest piece each time: often they are compatible
+            if last >= 0:
+                good = seen(last << 32 | i)
+                if not (good or (good is None and compatible(last, i))):
+                    break
+            out.append(i)
+            last = i
+            done += length
+        return out if done == len(text) else self._backtracked(text)
+
+    def _backtracked(self, text: str) -> list[int]:
+        n = len(text)
+        at: list[list[tuple[int, int]]] = [[] for _ in text]
+        for end, match in self.automaton.iter(text):
+            at[end + 1 - match[0]].append(match)  # matches come by their end, so the longest is last
+        seen, compatible = self.pairs.get, self.compatible
+        failed = pos = 0
+        last = -1
+        out: list[tuple[int, int]] = []
+        k = len(at[0])  # how many of the pieces at `pos` are still to be tried
+        untried: list[int] = []  # the same for the positions of the pieces in `out`
         while pos < n:
-            k, taken = rest[-1], False
-            while k and not taken:
+            here = at[pos]
+            while k:
                 k -= 1
-                length, i = at[pos][k]
-                taken = not failed >> (pos + length) & 1 and (not out or self.compatible(out[-1], i))
-            rest[-1] = k
-            if taken:
-                out.append(i)
-                pos += length
-                starts.append(pos)
-                rest.append(len(at[pos]) if pos < n else 0)
+                length, i = here[k]
+                if not failed >> (pos + length) & 1:
+                    if last < 0:
+                        break
+                    good = seen(last << 32 | i)
+                    if good or (good is None and compatible(last, i)):
+                        break
             else:
                 failed |= 1 << pos
                 if not out:
                     raise ValueError(f"no encoding of {text!r}")
-                out.pop()
-                rest.pop()
-                starts.pop()
-                pos = starts[-1]
-        return out
+                pos -= out.pop()[0]
+                k = untried.pop()
+                last = out[-1][1] if out else -1
+                continue
+            out.append((length, i))
+            untried.append(k)
+            pos += length
+            last = i
+            if pos < n:
+                k = len(at[pos])
+        return [i for _, i in out]
 
     def chunk(self, text: str) -> tuple[tuple[int, ...], str]:
         """Ids of one run of marks and the characters up to the next; also as decimal text."""
-        known = self.chunks.get(text)
+        known = self.chunks.get(text) or self.older.get(text)
         if known is None:
             out: list[int] = []
-            if all(c in self.single for c in set(text)):
+            if self.single.issuperset(text):
                 out = self._segment(text)
             else:
                 run = ""
@@ -117,10 +149,11 @@ class Encoder:
                     out += [self.bytes[b] for b in c.encode("utf-8", "replace")]
                 out += self._segment(run) if run else []
             known = tuple(out), ",".join(map(str, out))
-            if len(text) <= LONGEST:
-                if len(self.chunks) >= CHUNKS:
-                    self.chunks.clear()
-                self.chunks[text] = known
+        if len(text) <= LONGEST:
+            if len(self.chunks) >= CHUNKS:  # what is still in use comes over from the older generation
+                self.older = self.chunks
+                self.chunks = {}
+            self.chunks[text] = known
         return known
 
     def encode(self, text: str | None) -> tuple[list[int], str]:
@@ -129,10 +162,10 @@ class Encoder:
             return [], ""
         out: list[int] = []
         said: list[str] = []
-        known, marks = self.chunks, MARK
+        marks = MARK
         found = text.replace(MARK, " ").split(" ")
         for w in found if "" not in found else _runs(found):
-            got = known.get(key := marks + w) or self.chunk(key)
+            got = self.chunks.get(key := marks + w) or self.chunk(key)
             out += got[0]
             said.append(got[1])
         return out, ",".join(said)
