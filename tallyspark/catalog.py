@@ -1,4 +1,6 @@
 """All queries by name, and the SQL they are held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tallyspark.plans import run_queries
+
+QUERIES = {**run_queries.QUERIES}
+ORACLE_SQL = {**run_queries.ORACLE_SQL}
