@@ -11,6 +11,7 @@ pass of an Aho-Corasick automaton.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -23,7 +24,7 @@ from .common import Carried, documents
 
 MARK = "▁"
 #: Entries of each of the two generations of a worker's cache of chunks, of its cache of pairs, and the longest chunk kept.
-CHUNKS, PAIRS, LONGEST = 500_000, 1_000_000, 48
+CHUNKS, PAIRS, LONGEST = 350_000, 500_000, 48
 #: The rank of what is no piece.
 NONE = 1 << 40
 
@@ -47,8 +48,8 @@ class Encoder:
         for x, i in self.ids.items():
             self.automaton.add_word(x, (len(x), i))
         self.automaton.make_automaton()
-        self.chunks: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.chunks: dict[str, str] = {}  # the ids as text: a fraction of the memory of numbers
+        self.older: dict[str, str] = {}
         self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -131,10 +132,11 @@ class Encoder:
                 k = len(at[pos])
         return [i for _, i in out]
 
-    def chunk(self, text: str) -> tuple[tuple[int, ...], str]:
-        """Ids of one run of marks and the characters up to the next; also as decimal text."""
-        known = self.chunks.get(text) or self.older.get(text)
+    def chunk(self, key: str) -> str:
+        """Ids, as decimals joined by commas, of one run of marks and the characters up to the next; `key` lacks the first mark."""
+        known = self.chunks.get(key) or self.older.get(key)
         if known is None:
+            text = MARK + key
             out: list[int] = []
             if self.single.issuperset(text):
                 out = self._segment(text)
@@ -148,43 +150,36 @@ class Encoder:
                     run = ""
                     out += [self.bytes[b] for b in c.encode("utf-8", "replace")]
                 out += self._segment(run) if run else []
-            known = tuple(out), ",".join(map(str, out))
-        if len(text) <= LONGEST:
+            known = ",".join(map(str, out))
+        if len(key) <= LONGEST:
             if len(self.chunks) >= CHUNKS:  # what is still in use comes over from the older generation
                 self.older = self.chunks
                 self.chunks = {}
-            self.chunks[text] = known
+            self.chunks[key] = known
         return known
 
     def encode(self, text: str | None) -> tuple[list[int], str]:
         """The ids, as a list and as decimals joined by commas; none for a null or empty text."""
         if not text:
             return [], ""
-        out: list[int] = []
-        said: list[str] = []
-        marks = MARK
         found = text.replace(MARK, " ").split(" ")
-        for w in found if "" not in found else _runs(found):
-            got = self.chunks.get(key := marks + w) or self.chunk(key)
-            out += got[0]
-            said.append(got[1])
-        return out, ",".join(said)
+        get, chunk = self.chunks.get, self.chunk
+        said = ",".join([get(w) or chunk(w) for w in (found if "" not in found else _runs(found))])
+        return list(map(int, said.split(","))), said
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 
 
 def _runs(found: list[str]) -> Iterator[str]:
-    """The words, each behind the further marks that precede it; the last may be marks alone."""
+    """The words, each behind the marks that precede it but the first; the last may be marks alone."""
     run = ""
     for k, w in enumerate(found):
-        if w:
+        if w or k == len(found) - 1:
             yield run + w
             run = ""
-        elif k < len(found) - 1:
-            run += MARK
         else:
-            yield run
+            run += MARK
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -214,30 +209,30 @@ def encode_decode(docs: DataFrame, model_file: str, text_col: str = "text", ids:
     """
     c = Carried(docs)
     model = model_bytes(model_file)
-    keep = c.df.columns
-    new = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] + ["token_ids array<int>"] * ids + ["decoded string"] * texts
+    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"token_ids": pa.list_(pa.int32())} if ids else {}) | ({"decoded": pa.string()} if texts else {})
+    names = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"token_ids": "array<int>"} if ids else {}) | ({"decoded": "string"} if texts else {})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(", ".join(f"{k} {v}" for k, v in names.items()))  # takes the text alone to Python
+    def run(column: pa.Array) -> pa.Array:
         e = encoder(model)
-        for b in batches:
-            n, a, d, seq, back = [], [], [], [], []
-            for t in b.column(len(keep)):
-                out, said = e.encode(t.as_py())
-                text = e.decode(out) if out else ""
-                n.append(len(out))
-                a.append(hashlib.sha256(said.encode()).hexdigest())
-                d.append(hashlib.sha256(text.encode()).hexdigest())
-                if ids:
-                    seq.append(out)
-                if texts:
-                    back.append(text)
-            made = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
-            made += [pa.array(seq, pa.list_(pa.int32()))] * ids + [pa.array(back, pa.string())] * texts
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made], names=[*keep, *[x.split()[0] for x in new]])
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in c.df.schema.fields] + new)
-    out = c.df.withColumn("__text", c.col(text_col)).mapInArrow(run, schema)
-    return c.restore(out, **{x.split()[0]: x.split()[0] for x in new})
+        made: dict[str, list] = {k: [] for k in kinds}
+        for t in column:
+            out, said = e.encode(t.as_py())
+            text = e.decode(out) if out else ""
+            row = {"n_tokens": len(out), "ids_sha256": hashlib.sha256(said.encode()).hexdigest(), "decoded_sha256": hashlib.sha256(text.encode()).hexdigest(), "token_ids": array("i", out), "decoded": text}
+            for k, values in made.items():
+                values.append(row[k])
+        if ids:
+            flat = array("i")
+            ends = [0]
+            for x in made["token_ids"]:
+                flat.extend(x)
+                ends.append(len(flat))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]))
+        return pa.StructArray.from_arrays([lists if k == "token_ids" else pa.array(made[k], kind) for k, kind in kinds.items()], names=list(kinds))
+
+    out = c.df.withColumn("__out", run(c.col(text_col)))
+    return c.restore(out, **{k: F.col("__out")[k] for k in names})
 
 
 def public_model() -> str:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import Carried, checkpointed, documents
 
 #: Labelled rows of each class that a model is fitted on, and expressions of each length that it keeps.
-MAX_ROWS_PER_CLASS, MAX_EXPRESSIONS = 20_000, 200_000
+MAX_ROWS_PER_CLASS, MAX_EXPRESSIONS = 20_000, 100_000
 #: Characters of the stems that a word backs off to, longest first; discount of each count; least count of a kept word.
 STEMS, DISCOUNT, LEAST = (5, 4), 0.75, 3
 #: Shared counts that either class has of every expression besides its own.
@@ -126,8 +126,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, shrink: float = 1e-2) -> tuple[float
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS_PER_CLASS) -> Model:
     """The model of labelled rows whose crc32(id as text) mod 5 is not 0.
 
-    Of either class at most `max_rows` ids take part, the same number of each, chosen by a hash of the id; so
-    what is fitted, sent to the driver and broadcast has a bound that does not depend on the input.
+    Of either class about `max_rows` ids take part (a tenth more at most), chosen by a hash of the id, and for the counts as many of
+    the larger class as of the smaller; so what is fitted, sent to the driver and broadcast has a bound that does not depend on the input.
     Rows of remainder 4 set the calibration, the others give the counts.  Rows with a null id, label
     or text are no labelled rows; an id with several labels counts as toxic if one says so.  Without
     rows of both classes the score is the share of toxic rows for every text.
@@ -135,10 +135,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     c, d = Carried(labels), Carried(docs)
     part = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5))
     known = c.df.select(c.col(id_col).alias("id"), c.col(label_col).alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max((F.col("y") != 0).cast("int")).alias("y")).withColumn("part", part).where("part != 0")
+    sizes = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     picked = {}
     for y in (1, 0):
-        bound = max_rows if y else max(1, len(picked[1])) * 2
-        picked[y] = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(min(bound, max_rows)).select("id", "y", "part").collect()
+        part_of = min(1.0, max_rows / max(1, sizes.get(y, 0)))
+        by_hash = F.shiftrightunsigned(F.xxhash64("id"), 33) < int(part_of * (1 << 31))
+        picked[y] = known.where((F.col("y") == y) & by_hash).select("id", "y", "part").limit(max_rows + max_rows // 10).collect()
     if not picked[0] or not picked[1]:
         n, t = len(picked[0]) + len(picked[1]), len(picked[1])
         return Model(prior=t / (n + 1))
@@ -152,6 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         cut = sorted(picked[0], key=lambda r: r.id)[:: max(1, share[0] // share[1])]
         keep = F.broadcast(spark.createDataFrame([(r.id,) for r in cut + picked[1]], "__id long"))
         balanced = balanced.join(keep, "__id", "left_semi")
+    balanced = balanced.dropDuplicates(["__text", "__y"])  # copies are one witness
     counted = balanced.select("__text", "__y").mapInArrow(_count_words, "word string, t long, o long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     counted = checkpointed(counted)
     total = counted.agg(F.sum("t"), F.sum("o"), F.sum((F.col("t") > 0).cast("int")), F.sum((F.col("o") > 0).cast("int"))).first()
@@ -189,16 +192,13 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
     `predicted` replace input columns of those names.
     """
     c = Carried(docs)
-    keep = c.df.columns
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = [held.value.score(t.as_py()) for t in b.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s, pa.float64())], names=[*keep, "__score"])
+    @F.arrow_udf("double")  # takes the text alone to Python and brings back a number; the other columns stay where they are
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([held.value.score(t.as_py()) for t in texts], pa.float64())
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in c.df.schema.fields)
-    out = c.df.withColumn("__text", c.col(text_col)).mapInArrow(run, f"{schema}, __score double")
+    out = c.df.withColumn("__score", score(c.col(text_col)))
     return c.restore(out, score="__score", predicted=(F.col("__score") >= 0.5).cast("int"))
 
 
