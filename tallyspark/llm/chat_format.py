@@ -13,6 +13,8 @@ BROADCAST_TOOLS = 10_000
 #: The tool for which a plain chat's turns stand: a question is its call, the turn behind is the result.
 ANSWER = {"name": "answer", "parameters": {"prompt": ("string", True), "n_chars": ("integer", True), "attachments": ("array", False)}}
 #: JSON types by those of a variant's values.
+#: The columns of calls.
+CALLS_SCHEMA = "conv_id long, turn long, call_id string, name string, arguments string, after array<string>"
 JSON_TYPES = {"BIGINT": "integer", "DOUBLE": "number", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
 
 

@@ -131,7 +131,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     c = Carried(docs)
     key, text = c.col(id_col), c.col(text_col)
-    light = near_duplicates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    light = near_duplicates(c.df.select(key.alias("id"), text.alias("text")), "id", "text")
     first = light.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__first")).distinct()
     rows = c.df.join(first, key.eqNullSafe(F.col("__first")), "left_semi")
     place = F.row_number().over(Window.partitionBy(key, F.when(key.isNull(), text)).orderBy(text))
