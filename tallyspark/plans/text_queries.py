@@ -213,8 +213,8 @@ ORACLE_SQL["quadratic_kappa"] = rounded_sql(
     FROM (SELECT x.dimension, x.score AS a, y.score AS b, x.score IS NOT NULL AND y.score IS NOT NULL AS ok FROM ratings x JOIN ratings y ON x.doc_id = y.doc_id AND x.dimension = y.dimension AND x.rater = 'a' AND y.rater = 'b') GROUP BY dimension""", "dimension, status", _RATINGS)
 QUERIES["rating_means"] = of_tables(lambda s, d: evaluation.rating_means(_ratings(s, d)))
 ORACLE_SQL["rating_means"] = rounded_sql("SELECT dimension, avg(score) AS mean_score, count(score) AS n_scores, 'completed' AS status FROM ratings GROUP BY dimension", "dimension, status", _RATINGS)
-_VERDICT = F.when(F.col("toxic") == 1, "unsupported").when((F.col("quality") == 0) & (F.col("doc_id") % 10 == 0), "unverifiable").otherwise("supported")
-QUERIES["claim_precision"] = of_tables(lambda s, d: evaluation.claim_precision(_LABELS(s, d).select((F.col("doc_id") % 60).alias("narrative"), _VERDICT.alias("verdict")), "narrative"))
+_VERDICT = lambda: F.when(F.col("toxic") == 1, "unsupported").when((F.col("quality") == 0) & (F.col("doc_id") % 10 == 0), "unverifiable").otherwise("supported")
+QUERIES["claim_precision"] = of_tables(lambda s, d: evaluation.claim_precision(_LABELS(s, d).select((F.col("doc_id") % 60).alias("narrative"), _VERDICT().alias("verdict")), "narrative"))
 ORACLE_SQL["claim_precision"] = rounded_sql(
     """SELECT *, CASE WHEN unverifiable > 0 THEN 'uncertain' ELSE 'completed' END AS status, CASE WHEN unverifiable = 0 THEN supported / denominator * length_penalty END AS score, CASE WHEN unverifiable = 0 THEN supported / denominator END AS raw_precision, supported / denominator AS lower, (supported + unverifiable) / denominator AS upper
     FROM (SELECT *, CASE WHEN denominator < 10 THEN exp(1 - 10.0::DOUBLE / denominator) ELSE 1.0 END AS length_penalty FROM (SELECT doc_id % 60 AS narrative, count(*) AS denominator, count(*) FILTER (WHERE v = 's') AS supported, count(*) FILTER (WHERE v = 'u') AS unsupported, count(*) FILTER (WHERE v = 'q') AS unverifiable
@@ -250,11 +250,11 @@ QUERIES["faithfulness"] = of_tables(lambda s, d: evaluation.faithfulness(_LABELS
 ORACLE_SQL["faithfulness"] = rounded_sql("SELECT doc_id % 30 AS narrative, avg(quality) AS faithfulness, count(*) AS statements FROM labels GROUP BY 1")
 
 # Store.
-_THEMES = F.explode(F.array_distinct(F.transform(F.array(F.lit(3), F.lit(5)), lambda k: (F.col("doc_id") % k).cast("int")))).alias("theme_id")
+_THEMES = lambda: F.explode(F.array_distinct(F.transform(F.array(F.lit(3), F.lit(5)), lambda k: (F.col("doc_id") % k).cast("int")))).alias("theme_id")
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).where("doc_id % 7 > 0").select("doc_id", _THEMES)
+    return _docs(spark, sf_dir).where("doc_id % 7 > 0").select("doc_id", _THEMES())
 
 
 _ASSIGNED = "assigned AS (SELECT DISTINCT doc_id, unnest([doc_id % 3, doc_id % 5])::INT AS theme_id FROM documents WHERE doc_id % 7 > 0)"
