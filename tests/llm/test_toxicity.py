@@ -15,7 +15,7 @@ def corpus(prose):
         toxic = i % 4 == 0
         if toxic:
             for _ in range(r.randint(1, 4)):
-                t.insert(r.randrange(len(t)), r.choice(["nastyhead", *(f"grumble{a}{b}" for a in "abcdefg" for b in ("ton", "man", "x"))]))
+                t.insert(r.randrange(len(t)), r.choice(["nastyhead", *(f"grumble{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in ("ton", "man", "x", "let", "pot", "bag", "boy", "bum"))]))
         rows.append((i, " ".join(t)))
         labels.append((i, int(toxic)))
     return rows, labels
