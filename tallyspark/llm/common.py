@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,12 +55,15 @@ def ascii_lower(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Runs of characters other than ASCII white space; null and blank texts have none.
+    """Runs of characters other than ASCII white space; null and blank texts have none."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")
 
-    The text is trimmed first, so that only an empty one yields an empty string.
-    """
-    trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(ASCII_SPACE))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, even where `body` has it in a lambda that runs for each element.
+
+    A column of its own would not do: the optimizer puts its expression back into the lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _shared(spark: SparkSession) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Carried, ascii_lower, documents, words
+from .common import Carried, documents, let, words
 
 #: Bins of the one permutation (a power of two), low-order bits kept of each, words of a shingle.
 BINS, LOW, SHINGLE = 128, 4, 5
@@ -27,9 +27,8 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
     densification: any non-empty bin is as likely, whatever its distance).
     """
     of_bin = lambda h: F.shiftright(h, _SHIFT)
-    w, h, first, full, dense = (f"__{name}_{k}" for k in ("w", "h", "first", "full", "dense"))
-    df = df.withColumn(w, words(ascii_lower(text)))
-    df = df.withColumn(w, F.transform(F.col(w), lambda x: F.xxhash64(x)))
+    w, h, first = (f"__{name}_{k}" for k in ("w", "h", "first"))
+    df = df.withColumn(w, F.transform(words(text), lambda x: F.xxhash64(x)))
     size = F.size(w)
     hashes = F.when(size < SHINGLE, F.array(F.xxhash64(F.col(w)))).otherwise(
         F.transform(F.sequence(F.lit(0), size - SHINGLE), lambda i: F.xxhash64(*[F.get(F.col(w), i + k) for k in range(SHINGLE)]))
@@ -38,19 +37,29 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
     df = df.withColumn(h, F.sort_array(F.concat(hashes, marks)))
     df = df.withColumn(first, F.filter(F.col(h), lambda x, i: (i == 0) | (of_bin(F.get(F.col(h), i - 1)) != of_bin(x))))
     last = lambda x: x.bitwiseAND(F.lit((1 << _SHIFT) - 1)) == (1 << _SHIFT) - 1
-    df = df.withColumn(full, F.filter(F.col(first), lambda x: ~last(x)))
-    low = (1 << LOW) - 1
 
-    def taken(i: Column) -> Column:
-        near = F.transform(F.col(full), lambda y: F.xxhash64(i, of_bin(y)).bitwiseAND(F.lit(~low)).bitwiseOR(y.bitwiseAND(F.lit(low))))
-        return F.array_min(near).bitwiseAND(F.lit(low))
+    def dense(full: Column) -> Column:
+        def taken(i: Column) -> Column:
+            near = F.transform(full, lambda y, j: F.xxhash64(i, of_bin(y)).bitwiseAND(F.lit(-BINS)).bitwiseOR(j.cast("long")))
+            return F.get(full, F.array_min(near).bitwiseAND(F.lit(BINS - 1)).cast("int"))
 
-    df = df.withColumn(dense, F.transform(F.col(first), lambda x, i: F.when(last(x), taken(i)).otherwise(x.bitwiseAND(F.lit(low)))))
-    packed = F.transform(
-        F.sequence(F.lit(0), F.lit(BINS // _EACH - 1)),
-        lambda k: F.aggregate(F.slice(F.col(dense), k * _EACH + 1, _EACH), F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, LOW).bitwiseOR(x)),
-    )
-    return df.withColumn(name, packed).drop(w, h, first, full, dense)
+        return F.when(F.size(full) == BINS, full).otherwise(F.transform(F.col(first), lambda x, i: F.when(last(x), taken(i)).otherwise(x)))
+
+    def packed(values: Column) -> Column:
+        """Longs of `_EACH` parts.  A part has low-order bits of the value, hashed with the bin: a value that several
+        bins took over agrees with another text's by chance in each of them anew, not in all at once."""
+        part = lambda b: F.xxhash64(F.get(values, F.lit(b)), F.lit(b)).bitwiseAND(F.lit((1 << LOW) - 1))
+        return F.array(*[_or([F.shiftleft(part(k * _EACH + j), LOW * (_EACH - 1 - j)) for j in range(_EACH)]) for k in range(BINS // _EACH)])
+
+    values = let(F.filter(F.col(first), lambda x: ~last(x)), dense)
+    return df.withColumn(name, let(values, packed)).drop(w, h, first)
+
+
+def _or(parts: list[Column]) -> Column:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.bitwiseOR(p)
+    return out
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -100,12 +109,12 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = {r["part"]: r["least"] for r in placed.groupBy("part").agg(least.alias("least")).collect()}
     there = sorted(firsts)
     before = {p: there[k - 1] for k, p in enumerate(there)}  # of the first: the last
-    guests = F.create_map(*[F.lit(x) for p in there for x in (p, before[p])]) if there else F.create_map(F.lit(0), F.lit(0))
-    starts = F.create_map(*[F.lit(x) for p in there for x in (p, firsts[p])]).cast("map<int,long>") if there else F.create_map(F.lit(0), F.lit(0).cast("long"))
+    by_part = lambda values, kind: F.array(*[F.lit(values.get(p)).cast(kind) for p in range(len(cuts) + 1)])
+    starts, guests = by_part(firsts, "long"), by_part(before, "int")
     df = with_fingerprint(rows.withColumn("part", place), F.col("text"), "fp")
-    is_first = F.col("id").eqNullSafe(F.element_at(starts, F.col("part")))
+    is_first = F.col("id").eqNullSafe(F.get(starts, F.col("part")))
     own = F.struct(F.col("part").alias("part"), F.lit(0).alias("guest"))
-    guest = F.struct(F.element_at(guests, F.col("part")).alias("part"), F.lit(1).alias("guest"))
+    guest = F.struct(F.get(guests, F.col("part")).alias("part"), F.lit(1).alias("guest"))
     df = df.select("id", "text", "fp", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own))).alias("p"))
     order = Window.partitionBy("p.part").orderBy("p.guest", F.col("id").asc_nulls_first(), "text")
     df = df.select("*", F.lead("text").over(order).alias("next"), F.lead("fp").over(order).alias("next_fp")).where("p.guest = 0")
