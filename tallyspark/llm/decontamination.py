@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Carried, ascii_lower, checkpointed, documents, words
+from .common import Carried, ascii_lower, checkpointed, documents, let, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits in which a window's fingerprint may differ from its item's.  At a similarity of 0.8 each bit differs with a
@@ -29,23 +29,26 @@ def hashed_words(text: Column) -> Column:
 def shingles(hashes: Column, size: int = SHINGLE) -> Column:
     """64 bits for each run of `size` of the hashed words; none if there are fewer."""
     return F.when(F.size(hashes) < size, F.array().cast("array<long>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(hashes) - size), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(size)]))
+        let(hashes, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)])))
     )
 
 
 def simhash(found: Column) -> Column:
     """A word whose bits are each set in over half of the shingles `found`, repeats included."""
     bits = F.sequence(F.lit(0), F.lit(63))
-    set_ = F.filter(bits, lambda b: 2 * F.aggregate(found, F.lit(0), lambda n, h: n + F.getbit(h, b)) > F.size(found))
-    return F.aggregate(set_, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
+
+    def body(x: Column) -> Column:
+        set_ = F.filter(bits, lambda b: 2 * F.aggregate(x, F.lit(0), lambda n, h: n + F.getbit(h, b)) > F.size(x))
+        return F.aggregate(set_, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
+
+    return let(found, body)
 
 
 def weighted_similarity(a: Column, b: Column) -> Column:
     """Sum of the smaller counts over sum of the larger ones, over all shingles of either."""
-    both = F.array_intersect(a, b)
     count = lambda x, h: F.size(F.filter(x, lambda y: y == h))
-    shared = F.aggregate(both, F.lit(0), lambda acc, h: acc + F.least(count(a, h), count(b, h)))
-    return shared / (F.size(a) + F.size(b) - shared)
+    shared = lambda x, y: F.aggregate(F.array_intersect(x, y), F.lit(0), lambda acc, h: acc + F.least(count(x, h), count(y, h)))
+    return let(a, lambda x: let(b, lambda y: let(shared(x, y), lambda n: n / (F.size(x) + F.size(y) - n))))
 
 
 def find_passages(
@@ -80,7 +83,10 @@ def find_passages(
     where = checkpointed(places.join(anchors, "h").select("id", "of", "item", at.alias("start")).distinct())
 
     per = where.groupBy("id", "of", "item").agg(F.collect_set("start").alias("starts"))
-    cut = per.join(hashed.withColumnsRenamed({"id": "i", "of": "o"}), (F.col("id") == F.col("i")) & (F.col("of") == F.col("o")))
+    whole = rows.select(F.col("id").alias("i"), F.xxhash64("t").alias("o"), "t")
+    per = per.groupBy("id", "of").agg(F.collect_list(F.struct("item", "starts")).alias("found"))
+    cut = per.join(whole, (F.col("id") == F.col("i")) & (F.col("of") == F.col("o")))
+    cut = cut.select("id", hashed_words(F.col("t")).alias("w"), "found").select("id", "w", F.explode("found").alias("f")).select("id", "w", "f.item", "f.starts")
     cut = cut.join(small(benchmark), "item").select("id", "item", "iw", "ish", F.explode("starts").alias("start"), "w")
     cut = cut.select("id", "item", "start", "ish", F.slice("w", F.col("start") + 1, F.size("iw")).alias("w"))
     cut = cut.select("id", "item", "start", F.size("w").alias("n_words"), shingles(F.col("w"), shingle).alias("wsh")).where(F.size("wsh") > 0)
@@ -108,7 +114,7 @@ def find_passages(
 def without_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the rows whose id has a benchmark passage; rows with a null id stay."""
     c = Carried(docs)
-    hits = find_passages(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), items).select(F.col("doc_id").alias("__hit")).distinct()
+    hits = find_passages(c.df.select(c.col(id_col).alias("doc_id"), c.col(text_col).alias("text")), items).select(F.col("doc_id").alias("__hit")).distinct()
     return c.restore(c.df.join(hits, c.col(id_col) == F.col("__hit"), "left_anti"))
 
 
