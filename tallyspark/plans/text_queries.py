@@ -60,17 +60,18 @@ ORACLE_SQL["md_split"] = rounded_sql(f"SELECT doc_id, {_BLOCKS}[1] AS title, len
 
 
 def _quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir).withColumn("quote", F.element_at(F.split("text", " "), 2))
+    """The second of a text's words, by blanks, as the quote; texts of one word have none."""
+    d = _docs(spark, sf_dir).withColumn("quote", F.get(F.split("text", " "), F.lit(1)))
     first, third = (text.quoted_start(F.col("text"), F.col("quote"), k) for k in (0, 2))
     holds = evaluation.span_holds(F.col("text"), first, first + F.length("quote"), F.col("quote"))
-    return d.where("size(split(text, ' ')) > 2").select("doc_id", first.cast("long").alias("first_start"), third.cast("long").alias("third_start"), holds.alias("holds"))
+    return d.select("doc_id", first.cast("long").alias("first_start"), third.cast("long").alias("third_start"), holds.alias("holds"))
 
 
 QUERIES["quoted_span"] = of_tables(_quoted)
 ORACLE_SQL["quoted_span"] = rounded_sql(
-    """SELECT doc_id, nullif(a, 0) - 1 AS first_start, CASE WHEN b > 0 AND c > 0 AND trim(quote) <> '' THEN a + b + c - 1 END AS third_start, trim(quote) <> '' AS holds FROM (
-      SELECT *, CASE WHEN b > 0 THEN instr(substring(text, a + b + 1), quote) ELSE 0 END AS c FROM (SELECT *, instr(substring(text, a + 1), quote) AS b FROM (
-        SELECT doc_id, text, string_split(text, ' ')[2] AS quote, CASE WHEN trim(string_split(text, ' ')[2]) <> '' THEN instr(text, string_split(text, ' ')[2]) ELSE 0 END AS a FROM documents WHERE len(string_split(text, ' ')) > 2)))""", "holds")
+    """SELECT doc_id, nullif(a, 0) - 1 AS first_start, CASE WHEN b > 0 AND c > 0 THEN a + b + c - 1 END AS third_start, a > 0 AS holds FROM (
+      SELECT *, CASE WHEN b > 0 THEN instr(substring(text, a + b + 1), quote) ELSE 0 END AS c FROM (SELECT *, CASE WHEN a > 0 THEN instr(substring(text, a + 1), quote) ELSE 0 END AS b FROM (
+        SELECT doc_id, text, string_split(text, ' ')[2] AS quote, CASE WHEN trim(coalesce(string_split(text, ' ')[2], '')) <> '' THEN instr(text, string_split(text, ' ')[2]) ELSE 0 END AS a FROM documents)))""", "holds")
 
 # Run tables as text.
 _RAW = "CASE p_partkey % 7 WHEN 0 THEN (p_size || 'B') WHEN 1 THEN (p_size * 1000 || ' million') WHEN 2 THEN CAST(p_size AS VARCHAR) WHEN 3 THEN CAST(p_size * 1000000000::BIGINT AS VARCHAR) WHEN 4 THEN '-1' WHEN 5 THEN 'n/a' END"
@@ -134,7 +135,15 @@ QUERIES["editorial_pieces"] = of_tables(lambda s, d: _digested(chunking.pieces(_
 QUERIES["paragraph_explode"] = of_tables(lambda s, d: _docs(s, d).select("doc_id", F.posexplode(text.paragraphs(F.replace(F.col("text"), F.lit(".\n"), F.lit(".\n \n")))).alias("position", "p")).select("doc_id", F.col("position").cast("long").alias("position"), F.md5("p").alias("digest")))
 _PARS = rf"list_filter(list_transform(string_split_regex(replace(text, '.' || chr(10), '.' || chr(10) || ' ' || chr(10)), '\n\s*\n'), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> '')"
 ORACLE_SQL["paragraph_explode"] = f"SELECT doc_id, generate_subscripts({_PARS}, 1) - 1 AS position, md5(unnest({_PARS})) AS digest FROM documents"
-QUERIES["budget_batches"] = of_tables(lambda s, d: chunking.packed(_docs(s, d).select((F.col("doc_id") % 16).alias("theme"), "doc_id", (F.octet_length("text") + 20).cast("long").alias("n_bytes")).where("n_bytes <= 60000"), "theme", ["doc_id"], "n_bytes", 65_000, 500).groupBy("theme", "batch").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes")))
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks packed by theme, in order."""
+    c = chunking.chunks(_docs(spark, sf_dir)).select((F.col("doc_id") % 16).alias("theme"), "doc_id", "position", (F.octet_length("text") + 20).cast("long").alias("n_bytes"))
+    return chunking.packed(c, "theme", ["doc_id", "position"], "n_bytes", 65_000, 500).groupBy("theme", "batch").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"))
+
+
+QUERIES["budget_batches"] = of_tables(_batches)
 
 # Coverage.
 _EMB = lambda s, d, side: table(s, d, "embeddings").where(F.col("vec_id") % 2 == side).select(F.col("label").alias("doc"), F.col("vec_id").alias("sentence"), F.col("embedding").alias("vector"))
@@ -191,7 +200,7 @@ def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["coverage_cache_merge"] = of_tables(_cached)
 ORACLE_SQL["coverage_cache_merge"] = r"SELECT doc_id % 2 = 0 AS was_cached, count(*) AS n_rows, sum(CASE WHEN doc_id % 2 = 0 THEN -1 ELSE len(regexp_extract_all(text, '[^\s\p{Z}\x85]+')) END)::BIGINT AS n_words FROM documents GROUP BY 1"
-QUERIES["entity_coverage"] = of_tables(lambda s, d: _pairs(s, d).where("generated IS NOT NULL").select("doc_id", text.containment(F.array_distinct(F.slice(F.split("generated", " "), 1, 8)), F.col("source")).alias("coverage")))
+QUERIES["entity_coverage"] = of_tables(lambda s, d: _pairs(s, d).select("doc_id", text.containment(F.array_distinct(F.slice(F.split("generated", " "), 1, 8)), F.col("source")).alias("coverage")))
 
 # Evaluation.
 _LABELS = lambda s, d: table(s, d, "labels").select("doc_id", "quality", "toxic")
@@ -222,16 +231,19 @@ ORACLE_SQL["claim_precision"] = rounded_sql(
 
 
 def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = _docs(spark, sf_dir).where("doc_id < 150").select((F.col("doc_id") % 12).alias("narrative"), F.col("doc_id").alias("unit_id"))
-    decisions = _LABELS(spark, sf_dir).select((F.col("doc_id") % 12).alias("narrative"), F.col("doc_id").alias("unit_id"), F.when(F.col("quality") == 1, "covered").when(F.col("toxic") == 1, "uncertain").otherwise("not_covered").alias("verdict"))
+    """Labelled documents are the reviewed units of twelve narratives, all others the unreviewed ones of three more."""
+    labels = _LABELS(spark, sf_dir)
+    narrative = lambda known: F.when(known, F.col("doc_id") % 12).otherwise(12 + F.col("doc_id") % 3).alias("narrative")
+    units = _docs(spark, sf_dir).join(labels, "doc_id", "left").select(narrative(F.col("quality").isNotNull()), F.col("doc_id").alias("unit_id"))
+    decisions = labels.select(narrative(F.lit(True)), F.col("doc_id").alias("unit_id"), F.when(F.col("quality") == 1, "covered").when((F.col("toxic") == 1) & (F.col("doc_id") % 2 == 0), "uncertain").otherwise("not_covered").alias("verdict"))
     return evaluation.source_coverage(units, decisions, "narrative")
 
 
 QUERIES["source_coverage_bounds"] = of_tables(_bounds)
 ORACLE_SQL["source_coverage_bounds"] = rounded_sql(
     """SELECT *, CASE WHEN unreviewed > 0 THEN 'partial' WHEN uncertain > 0 THEN 'uncertain' ELSE 'completed' END AS status, CASE WHEN unreviewed = 0 THEN covered / denominator END AS score, covered / denominator AS lower, (covered + uncertain + unreviewed) / denominator AS upper
-    FROM (SELECT doc_id % 12 AS narrative, count(*) AS denominator, count(*) FILTER (WHERE quality = 1) AS covered, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS not_covered, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS uncertain, count(*) FILTER (WHERE quality IS NULL) AS unreviewed
-    FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id < 150 GROUP BY 1)""", "status")
+    FROM (SELECT CASE WHEN quality IS NULL THEN 12 + doc_id % 3 ELSE doc_id % 12 END AS narrative, count(*) AS denominator, count(*) FILTER (WHERE quality = 1) AS covered, count(*) FILTER (WHERE quality = 0 AND NOT (toxic = 1 AND doc_id % 2 = 0)) AS not_covered,
+      count(*) FILTER (WHERE quality = 0 AND toxic = 1 AND doc_id % 2 = 0) AS uncertain, count(*) FILTER (WHERE quality IS NULL) AS unreviewed FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)""", "status")
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
