@@ -106,13 +106,15 @@ def trained() -> tuple[dict[tuple[str, ...], np.ndarray], np.ndarray]:
     y = np.eye(len(FAMILIES))[[k for _, k in rows]]
     fold = np.arange(len(rows)) % 3 == 2
     w = np.zeros((x.shape[1], y.shape[1]))
-    weigh = 1 / y[~fold].sum(0)[y[~fold].argmax(1)]
+    learn, want = np.ascontiguousarray(x[~fold]), y[~fold]
+    turned = np.ascontiguousarray(learn.T)
+    weigh = 1 / want.sum(0)[want.argmax(1)]
     weigh /= weigh.mean()
     for step in range(400):
-        z = x[~fold] @ w
+        z = learn @ w
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        g = x[~fold].T @ ((p - y[~fold]) * weigh[:, None]) / len(p)
+        g = turned @ ((p - want) * weigh[:, None]) / len(p)
         w -= 4.0 / (1 + step / 200) * g
         w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - 2e-4, 0)
     w[:-1][np.abs(w[:-1]) < KEPT] = 0
