@@ -201,6 +201,10 @@ def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["coverage_cache_merge"] = of_tables(_cached)
 ORACLE_SQL["coverage_cache_merge"] = r"SELECT doc_id % 2 = 0 AS was_cached, count(*) AS n_rows, sum(CASE WHEN doc_id % 2 = 0 THEN -1 ELSE len(regexp_extract_all(text, '[^\s\p{Z}\x85]+')) END)::BIGINT AS n_words FROM documents GROUP BY 1"
 QUERIES["entity_coverage"] = of_tables(lambda s, d: _pairs(s, d).select("doc_id", text.containment(F.array_distinct(F.slice(F.split("generated", " "), 1, 8)), F.col("source")).alias("coverage")))
+_PHRASE = lambda x: rf"regexp_replace(regexp_replace(regexp_replace(lower(trim({x})), '{_PUNCT}', '', 'g'), '{_WS}+', ' ', 'g'), '^ | $', '', 'g')"
+ORACLE_SQL["entity_coverage"] = rounded_sql(
+    f"""SELECT doc_id, len(list_filter(p, lambda x: contains(s, {_PHRASE('x')}))) / nullif(len(p), 0) AS coverage
+    FROM (SELECT doc_id, {_PHRASE('d.text')} AS s, list_distinct(string_split(b.text, ' ')[1:8]) AS p FROM documents d LEFT JOIN benchmark b ON doc_id % 50 = item_id)""")
 
 # Evaluation.
 _LABELS = lambda s, d: table(s, d, "labels").select("doc_id", "quality", "toxic")
