@@ -12,7 +12,7 @@ from tallyspark.functions.numeric import rounded
 from tallyspark.functions.parse import case_column, ordered_values
 from tallyspark.operators import cases, coverage, summaries, tradeoff
 from tallyspark.plans.adapter import INPUT_ORDER, PROMPT_ORDER
-from tallyspark.sources import sinks
+from tallyspark.sources import figures, sinks
 from tallyspark.sources.runs import load_runs
 
 
@@ -69,7 +69,7 @@ def summary_json(runs: DataFrame, made: dict[str, DataFrame], files: DataFrame)
 
 
 def run_analysis(spark: SparkSession, source: str, output: str, options: Options | None = None, shared: str | None = None) -> dict:
-    """Reads run files, writes all tables (Parquet, CSV), a JSON summary, a Markdown, an HTML and a LaTeX report, and a ZIP of all.
+    """Reads run files, writes all tables (Parquet, CSV), a JSON summary, a Markdown, an HTML and a LaTeX report, figures, and a ZIP of all.
 
     Tables are rounded to three digits, half to even, when they are written.  The run table is cached while the tables are made of it."""
     o = options or Options()
@@ -85,6 +85,7 @@ def run_analysis(spark: SparkSession, source: str, output: str, options: Options
             "report.md": f"# {o.title}\n\n" + "\n".join(f"## {n}\n\n{sinks.markdown(made[n])}" for n in shown), "report.html": f"<h1>{o.title}</h1>\n" + "\n".join(f"<h2>{n}</h2>\n{sinks.html(made[n])}" for n in shown),
             "report.tex": "\n".join(f"% {n}\n{sinks.latex(made[n])}" for n in shown),
         }, output)
+        sinks.publish(figures.of_analysis(made), f"{output}/figures")
         sinks.bundle(str(Path(output)))
         return summary
     finally:

@@ -1,6 +1,7 @@
 import json
 import math
 import zipfile
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,7 +149,9 @@ def test_analysis(spark, tmp_path):
     assert json.loads((tmp_path / "out/analysis_summary.json").read_text())["runs"] == 48
     assert "best_tradeoff" in (tmp_path / "out/report.md").read_text()
     with zipfile.ZipFile(tmp_path / "out/analysis.zip") as z:
-        assert "report.html" in z.namelist()
+        assert "report.html" in z.namelist() and "figures/07_frontier.svg" in z.namelist()
+    for f in (tmp_path / "out/figures").iterdir():
+        ElementTree.parse(f)
     with zipfile.ZipFile(tmp_path / "in.zip", "w") as z:
         z.write(root / "plain/nrs_runs.csv", "plain/nrs_runs.csv")
     assert runs.load_runs(spark, str(tmp_path / "in.zip"), str(tmp_path / "unzipped"))[0].count() == 24
