@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import Carried, documents, let, words
 
+#: Probes of an empty bin before all non-empty bins are ranked for it.
+PROBES = 16
 #: Bins of the one permutation (a power of two), low-order bits kept of each, words of a shingle.
-BINS, LOW, SHINGLE = 128, 4, 5
+BINS, LOW, SHINGLE = 256, 4, 5
 _SHIFT = 64 - (BINS.bit_length() - 1)
 _EACH = 64 // LOW  # values in a packed long
 
@@ -22,9 +24,9 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
     """`df` with the fingerprint of `text`: an array of longs that hold `LOW` bits for each bin.
 
     Hashes are sorted together with one mark for each bin, greater than all the bin's hashes; so the first of each
-    bin is its least hash, or the mark where it is empty.  An empty bin takes over the value of the
-    nearest non-empty bin in an order of all bins that a hash gives it, of its own and the same for all texts (optimal
-    densification: any non-empty bin is as likely, whatever its distance).
+    bin is its least hash, or the mark where it is empty.  An empty bin takes over the value of the first
+    non-empty one that its own probes hit, the same for all texts (optimal densification: any non-empty bin is as likely, whatever its
+    distance); should `PROBES` hit none, of the one that a hash ranks first.
     """
     of_bin = lambda h: F.shiftright(h, _SHIFT)
     w, h, first = (f"__{name}_{k}" for k in ("w", "h", "first"))
@@ -40,8 +42,11 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
 
     def dense(full: Column) -> Column:
         def taken(i: Column) -> Column:
+            at = lambda j: F.get(F.col(first), F.xxhash64(i, j).bitwiseAND(F.lit(BINS - 1)).cast("int"))
+            probe = lambda got, j: F.when(got.isNotNull(), got).otherwise(let(at(j), lambda x: F.when(~last(x), x)))
+            probed = F.aggregate(F.array(*[F.lit(j) for j in range(PROBES)]), F.lit(None).cast("long"), probe)
             near = F.transform(full, lambda y, j: F.xxhash64(i, of_bin(y)).bitwiseAND(F.lit(-BINS)).bitwiseOR(j.cast("long")))
-            return F.get(full, F.array_min(near).bitwiseAND(F.lit(BINS - 1)).cast("int"))
+            return F.coalesce(probed, F.get(full, F.array_min(near).bitwiseAND(F.lit(BINS - 1)).cast("int")))
 
         return F.when(F.size(full) == BINS, full).otherwise(F.transform(F.col(first), lambda x, i: F.when(last(x), taken(i)).otherwise(x)))
 
