@@ -1,17 +1,25 @@
 """Operator 4: language-model scores from a log-frequency Bloom filter.
 
-Word counts are exact: they are counted, and joined to the words of the texts, by shuffles that grow
-with the input.  Counts of word pairs are held in a log-frequency Bloom filter: a pair whose count is
+All word pairs count.  A word b behind a word a has the probability (n(a, b) + m(a) P(b)) / (c(a) + m(a)), with the
+weight m(a) of the single words a function of c(a) for the `HOT_WORDS` most frequent words, and a constant for others.
+
+Counts of the pairs of the `PAIR_WORDS` most frequent words are held in a log-frequency Bloom filter: a pair whose count is
 of level q (1 + floor(log2 count)) is entered q times, as (pair, 1) .. (pair, q), and its count is read back by
-probing levels from 1 until one is missing.  Pairs are of the `PAIR_WORDS` most frequent words, so there are at
-most `PAIR_WORDS`^2 of them whatever the size of the corpus, and the broadcast filter has a bound.
-The exact counts of the `HOT_WORDS` most frequent words, likewise bounded, are broadcast too; only rarer words are
-shuffled to their counts, so no word has many rows there.
+probing levels from 1 until one is missing.  There are at most `PAIR_WORDS`^2 of them whatever the size of
+the corpus, so this filter, and the exact counts of the hot words, are broadcast.
+
+All other pairs are as many as the corpus makes them.  They are dealt to hash shards, as many as the texts need, packed by
+chunks of texts; a shard has every occurrence of its pairs and counts them exactly.  A pair with a rarer
+word as its second goes with that word, whose exact count comes out at the same place.  A pair that is not in the filter
+has at most a `PAIR_WORDS`th of the words, so no shard is much larger than others.  Shards answer by chunk.
+
+A rarer word is known by 62 bits of its XXH64.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +36,14 @@ from .common import Carried, checkpointed, documents
 HOT_WORDS, PAIR_WORDS = 65_536, 2_048
 #: Of the filter: bits for each entry, probes, parts in which it is built, most levels.
 BITS, PROBES, SHARDS, LEVELS = 12, 6, 64, 40
-DISCOUNT = 0.5
+#: The weight of single words behind a word: of hot ones, WEIGHT * count^POWER; of others.
+WEIGHT, POWER, RARE_WEIGHT = 4.0, 0.8, 10.0
 #: The end of a text, as a token: no word is empty.
 END = b""
 #: Tokens that are scored at a time, and distinct words that a task gathers before it hands them on.
 CHUNK, GATHER = 200_000, 300_000
+#: Bytes of text for each hash shard, about 350,000 pairs.
+SHARD_BYTES = 3_000_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -77,6 +89,10 @@ class Model:
     filter: np.ndarray  # shards, packed
     level_means: np.ndarray  # mean count of a pair by level
     stay: np.ndarray  # by place: the share of a word's followers that is left to single words
+    pair_words: int = PAIR_WORDS  # pairs of places below are in the filter
+
+    def weight(self, places: np.ndarray) -> np.ndarray:
+        return WEIGHT * np.maximum(self.counts[places], 1) ** POWER
 
     def base(self, c):
         return np.log10((c + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
@@ -172,9 +188,11 @@ def learn(texts: DataFrame) -> tuple[Model, DataFrame]:
     end = F.col("token") == F.lit(bytearray(END))
     top = counts.where(end).collect() + _most_frequent(counts.where(~end))  # the end is first
     hot = {bytes(r.token): i for i, r in enumerate(top)}
-    model = Model(n, v, once, hot, np.array([r.c for r in top], np.int64), 8, np.zeros((SHARDS, 1), np.uint8), np.zeros(1), np.ones(min(PAIR_WORDS, len(top))))
+    model = Model(n, v, once, hot, np.array([r.c for r in top], np.int64), 8, np.zeros((SHARDS, 1), np.uint8), np.zeros(1), np.ones(len(top)), PAIR_WORDS)
     if not n:
         return model, counts
+    weight = model.weight(np.arange(len(top)))
+    model.stay = weight / (model.counts + weight)
     pairs = checkpointed(texts.select("text").mapInArrow(_pairs_of({w: i for w, i in hot.items() if i < PAIR_WORDS}), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")))
     level = F.least(F.lit(LEVELS), F.floor(F.log2("c") + F.lit(1e-9)) + 1).cast("int")
     stats = pairs.groupBy(level.alias("q")).agg(F.count("*").alias("n"), F.avg("c").alias("mean")).collect()
@@ -197,79 +215,195 @@ def learn(texts: DataFrame) -> tuple[Model, DataFrame]:
     model.filter = np.zeros((SHARDS, bits // 8), np.uint8)
     for r in parts:
         model.filter[r.shard] = np.frombuffer(bytes(r.bits), np.uint8)
-    first = F.floor(F.col("pair") / PAIR_WORDS)
-    followers = pairs.groupBy(first.alias("h")).agg(F.count("*").alias("kinds"), F.sum("c").alias("c")).collect()
-    for r in followers:
-        model.stay[r.h] = max(1e-6, 1 - (r.c - DISCOUNT * r.kinds) / max(r.c, model.counts[r.h]))
     return model, counts
 
 
 def _scored(model: Model, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For tokens by place (-1: not hot; the text's first behind an END): base, model, known; of other words only
-    what does not depend on their count."""
+    """For tokens by place (-1: not hot; the text's first behind an END): base, model, known; what depends on rarer
+    words and on pairs that are not in the filter is added by their shards."""
     before, now = places[:-1], places[1:]
-    hot = now >= 0
-    c = np.where(hot, model.counts[np.maximum(now, 0)] if len(model.counts) else 0, 0)
+    hot, held = now >= 0, before >= 0
+    at = np.maximum(now, 0)
+    c = np.where(hot, model.counts[at] if len(model.counts) else 0, 0)
     base = np.where(hot, model.base(c), 0.0)
-    single = model.unigram(np.maximum(c, 1)) if model.total else base
-    held = (before >= 0) & (before < len(model.stay))
-    stay = np.where(held, model.stay[np.where(held, before, 0)] if len(model.stay) else 1.0, 1.0)
-    score = np.where(hot, np.log10(stay) + single, np.log10(stay))
-    both = np.flatnonzero(held & hot & (now < len(model.stay)))
+    single = model.unigram(c) if model.total else base
+    score = np.where(hot, single, 0.0)
+    score[held] += np.log10(model.stay[before[held]])
+    both = np.flatnonzero(_in_filter(model, before, now))
     if len(both) and len(model.level_means) > 1:
-        pair, back = np.unique(before[both] * PAIR_WORDS + now[both], return_inverse=True)
+        pair, back = np.unique(before[both] * model.pair_words + now[both], return_inverse=True)
         n = model.count_of(pair)[back]
-        score[both] = np.log10(np.maximum(n - DISCOUNT, 0) / model.counts[before[both]] + stay[both] * 10 ** single[both])
+        score[both] += np.log10(1 + n / (model.weight(before[both]) * 10 ** single[both]))
     return base, score, hot & (c > 0)
 
 
-def _texts_scored(held):
-    """One row for each text, with what is known of it, and one for each of its rarer words."""
+def _in_filter(model: Model, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a >= 0) & (a < model.pair_words) & (b >= 0) & (b < model.pair_words)
+
+
+def _rare(word: bytes) -> int:
+    """A negative number for a word that is not hot."""
+    return -1 - (xxhash.xxh64_intdigest(word) >> 2)
+
+
+def _sent(held, shards: int):
+    """Rows (shard, chunk, docs, train, pairs): of each chunk of texts what each shard needs, and the texts themselves once.
+
+    `docs` of the latter is a record batch; of the others the number of each pair's text in the chunk.  Pairs of hot words are
+    (place * hot words + place, 0), those with a rarer second word (it, the first), those with a rarer first word
+    alone (it, hot words + place of the second): a rarer word is negative, a hot one its place.
+    """
+    names = ["shard", "chunk", "docs", "train", "pairs"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = held.value
-        get, end = model.hot.get, model.hot.get(END, -1)
-        names = ["uid", "token", "n", "n_tokens", "n_known", "base", "score"]
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-
-        def done(id_type: pa.DataType, uids: list[int], whose: list[tuple], places: list[int], ends: list[int], rare: list[tuple]) -> pa.RecordBatch:
-            p = np.array(places, np.int64)
-            base, score, known = _scored(model, p)
-            cut = np.array(ends, np.int64)
+        get, end, hot = model.hot.get, model.hot.get(END, -1), len(model.hot)
+
+        def done(id_type: pa.DataType, uids: list[int], ids: list, train: list[bool], words: array, ends: list[int]) -> pa.RecordBatch:
+            w, cut = np.array(words, np.int64), np.array(ends, np.int64)
+            base, score, known = _scored(model, np.maximum(w, -1))
             # each text takes one leading end and its tokens; the value for that leading end (position cut) is not its own
             starts = np.r_[0, cut[:-1]]
             sums = []
             for x in (base, score, known.astype(np.int64)):
                 total = np.r_[0, np.cumsum(x)]
                 sums.append(total[cut - 1] - total[starts])
-            rows = [(u, b"\xff" + u.to_bytes(8, "big"), 0, int(z - a - 1), int(k), float(f), float(s)) for u, a, z, f, s, k in zip(uids, starts, cut, *sums, strict=True)]
-            rows += rare
-            made = [pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            ids, train = zip(*whose, strict=True)
-            none = [None] * len(rare)
-            return pa.RecordBatch.from_arrays([*made, pa.array([*ids, *none], id_type), pa.array([*train, *none], pa.bool_())], names=[*names, "id", "train"])
-
+            said = pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(train, pa.bool_()), pa.array(cut - starts - 1), *map(pa.array, sums)], names=["id", "train", "n_tokens", "base", "score", "n_known"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, said.schema) as out:
+                out.write_batch(said)
+            rows = [(uids[0] % shards, uids[0], sink.getvalue().to_pybytes(), None, None)]
+            a, b = w[:-1], w[1:]
+            ours = ~_in_filter(model, a, b)
+            ours[cut[:-1] - 1] = False  # one text's end and the next one's start
+            if not model.total:
+                ours[:] = False  # no pair and no rarer word has a count
+            at = np.flatnonzero(ours)
+            a, b = a[at], b[at]
+            doc = np.searchsorted(cut, at, side="right").astype(np.uint32)
+            one = np.where(b < 0, b, np.where(a < 0, a, a * hot + b))
+            two = np.where(b < 0, a, np.where(a < 0, hot + b, 0))
+            to = (mixed(one) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            one, two, doc, to = one[order], two[order], doc[order], to[order]
+            is_train = np.array(train, bool)[doc]
+            first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else []
+            for x, y in zip(first, np.r_[first[1:], len(to)].astype(np.int64) if len(to) else [], strict=True):
+                k, m, plain = one[x:y], two[x:y], one[x:y] >= 0
+                o = np.argsort(~plain, kind="stable")  # pairs of hot words first: five bytes are enough for them
+                n = int(plain.sum())
+                body = n.to_bytes(4, "little") + _narrow(k[o][:n]) + k[o][n:].tobytes() + m[o][n:].tobytes()
+                d = doc[x:y][o]
+                rows.append((int(to[x]), uids[0], np.diff(d.astype(np.int64), prepend=0).astype(np.int32).tobytes(), np.packbits(is_train[x:y][o]).tobytes(), body))
+            return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+        id_type = pa.null()
+        uids, ids, train, words, ends = [], [], [], array("q"), []
         for b in batches:
             id_type = b.column(1).type
-            uids, whose, places, ends, rare = [], [], [], [], []
             for uid, i, is_train, text in zip(*b.columns, strict=True):
-                u, found = uid.as_py(), tokens(text.as_py())
-                whose.append((i.as_py(), is_train.as_py()))
-                mine = [get(w, -1) for w in found]
-                places.append(end)
-                places += mine
-                ends.append(len(places))
-                uids.append(u)
-                rare += [(u, w, n, None, None, None, None) for w, n in Counter([w for w, i in zip(found, mine, strict=True) if i < 0]).items()]
-                if len(places) >= CHUNK:
-                    yield done(id_type, uids, whose, places, ends, rare)
-                    uids, whose, places, ends, rare = [], [], [], [], []
-            if uids:
-                yield done(id_type, uids, whose, places, ends, rare)
+                mine = [end]
+                for t in tokens(text.as_py()):
+                    place = get(t)
+                    mine.append(_rare(t) if place is None else place)
+                words.extend(mine)
+                ends.append(len(words))
+                uids.append(uid.as_py())
+                ids.append(i.as_py())
+                train.append(is_train.as_py())
+                if len(words) >= CHUNK:
+                    yield done(id_type, uids, ids, train, words, ends)
+                    uids, ids, train, words, ends = [], [], [], array("q"), []
+        if uids:
+            yield done(id_type, uids, ids, train, words, ends)
 
     return run
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers below 2^40 as five bytes each."""
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _wide(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
+    return out.view("<i8").ravel()
+
+
+def _answered(held):
+    """What a shard adds to each text: rows (chunk, docs, sums), and the texts themselves as they came."""
+
+    def run(part: pa.Table) -> pa.Table:
+        model: Model = held.value
+        hot = len(model.hot)
+        rows = [r for r in zip(*(part.column(n).to_pylist() for n in ("chunk", "docs", "train", "pairs")), strict=True)]
+        out = [(chunk, docs, None) for chunk, docs, _, pairs in rows if pairs is None]
+        rows = [r for r in rows if r[3] is not None]
+        if rows:
+            ones, twos, docs, trains, sizes = [], [], [], [], []
+            for _, d, t, body in rows:
+                n = int.from_bytes(body[:4], "little")
+                rest = np.frombuffer(body[4 + 5 * n :], np.int64)
+                d = np.cumsum(np.frombuffer(d, np.int32))
+                ones += [_wide(body[4 : 4 + 5 * n]), rest[: len(rest) // 2]]
+                twos += [np.zeros(n, np.int64), rest[len(rest) // 2 :]]
+                docs.append(d)
+                sizes.append(len(d))
+                trains.append(np.unpackbits(np.frombuffer(t, np.uint8), count=len(d)).astype(bool))
+            one, two, doc, train = (np.concatenate(x) for x in (ones, twos, docs, trains))
+            base, score, known = _shard_scored(model, hot, one, two, train)
+            x = 0
+            for (chunk, *_), size in zip(rows, sizes, strict=True):
+                y = x + size
+                d, back = np.unique(doc[x:y], return_inverse=True)
+                sums = [np.bincount(back, v[x:y], len(d)) for v in (base, score, known)]
+                out.append((chunk, d.astype(np.int32).tobytes(), sums[0].tobytes() + sums[1].tobytes() + sums[2].astype(np.int32).tobytes()))
+                x = y
+        made = list(zip(*out, strict=True)) or [[], [], []]
+        return pa.table([pa.array(list(x), k) for x, k in zip(made, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "docs", "sums"])
+
+    return run
+
+
+def _shard_scored(model: Model, hot: int, one: np.ndarray, two: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Base, model and known of a shard's pairs, in the form that `_sent` gives them."""
+    base, score, known = np.zeros(len(one)), np.zeros(len(one)), np.zeros(len(one), np.int64)
+    _, back = np.unique(mixed(one.astype(np.uint64) ^ mixed(two.astype(np.uint64))), return_inverse=True)
+    n = np.bincount(back, train)[back]
+    weight, single = np.full(len(one), RARE_WEIGHT), np.zeros(len(one))
+    plain = one >= 0
+    second = np.flatnonzero(~plain & (two < hot))  # the rarer word is the second
+    words, back = np.unique(one[second], return_inverse=True)
+    c = np.bincount(back, train[second], len(words))[back] if len(words) else np.zeros(0)
+    single[second] = model.unigram(c)
+    base[second], known[second] = model.base(c), c > 0
+    score[second] = single[second] + np.log10(RARE_WEIGHT / (c + RARE_WEIGHT))  # what stays of the word as a first one: it is one as often
+    led = second[two[second] >= 0]
+    weight[led] = model.weight(two[led])
+    first = ~plain & (two >= hot)
+    single[first] = model.unigram(model.counts[two[first] - hot])
+    weight[plain] = model.weight(one[plain] // hot) if hot else RARE_WEIGHT
+    single[plain] = model.unigram(model.counts[one[plain] % hot]) if hot else 0
+    return base, score + np.log10(1 + n / (weight * 10**single)), known
+
+
+def _summed(part: pa.Table) -> pa.Table:
+    """The texts of a chunk with the sums of all shards added."""
+    rows = list(zip(part.column("docs").to_pylist(), part.column("sums").to_pylist(), strict=True))
+    texts = pa.ipc.open_stream(next(d for d, s in rows if s is None)).read_all()
+    names = ["base", "score", "n_known"]
+    total = [texts.column(n).to_numpy().copy() for n in names]
+    for d, s in rows:
+        if s is not None:
+            at = np.frombuffer(d, np.int32)
+            n = len(at)
+            for t, x in zip(total, (np.frombuffer(s, np.float64, n), np.frombuffer(s, np.float64, n, 8 * n), np.frombuffer(s, np.int32, n, 16 * n)), strict=True):
+                t[at] += x
+    return pa.table([*(texts.column(n) for n in ("id", "train", "n_tokens")), *map(pa.array, total)], names=["id", "train", "n_tokens", *names])
+
+
 def score_texts(docs: DataFrame, train: Column | str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of all texts by a model of those for which `train` holds (a condition on the column `id`, or its SQL).
 
@@ -282,24 +416,14 @@ def score_texts(docs: DataFrame, train: Column | str, id_col: str = "doc_id", te
     c = Carried(docs)
     rows = c.df.select(F.monotonically_increasing_id().alias("uid"), c.col(id_col).alias("id"), c.col(text_col).alias("text"))
     rows = rows.withColumn("train", F.coalesce(F.expr(train) if isinstance(train, str) else train, F.lit(False)))
-    model, counts = learn(rows.where("train"))
+    model, _ = learn(rows.where("train"))
     held = docs.sparkSession.sparkContext.broadcast(model)
+    shards = 1 + rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0] // SHARD_BYTES
     kind = rows.schema["id"].dataType.simpleString()
-    parts = rows.select("uid", "id", "train", "text").mapInArrow(_texts_scored(held), f"uid long, token binary, n long, n_tokens long, n_known long, base double, score double, id {kind}, train boolean")
-    seen = parts.join(counts, "token", "left")
-    k = F.coalesce("c", F.lit(0))
-    unseen = min(0.5, max(1, model.once) / max(1, model.total))
-    base = F.log10((k + 0.1) / F.lit(model.total + 0.1 * (model.distinct + 1)))
-    single = F.log10(F.when(k > 0, k / F.lit(float(max(1, model.total))) * (1 - unseen)).otherwise(F.lit(unseen))) if model.total else base
-    total = seen.groupBy("uid").agg(
-        F.max("id").alias("id"),
-        F.max("train").alias("train"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("n_known", F.when(k > 0, F.col("n")).otherwise(0))).alias("n_known"),
-        F.sum(F.coalesce("base", F.lit(0.0)) + F.col("n") * base).alias("base_score"),
-        F.sum(F.coalesce("score", F.lit(0.0)) + F.col("n") * single).alias("score"),
-    )
-    return total.select(F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    sent = rows.select("uid", "id", "train", "text").mapInArrow(_sent(held, shards), "shard long, chunk long, docs binary, train binary, pairs binary")
+    answers = sent.groupBy("shard").applyInArrow(_answered(held), "chunk long, docs binary, sums binary")
+    total = answers.groupBy("chunk").applyInArrow(_summed, f"id {kind}, train boolean, n_tokens long, base double, score double, n_known long")
+    return total.select(F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

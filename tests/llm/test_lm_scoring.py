@@ -72,3 +72,27 @@ def test_odd_rows(odd):
     assert lm.score_texts(odd.limit(0), TRAIN).count() == 0
     none = lm.score_texts(odd, F.lit(False)).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.score == r.base_score == 0 for r in none)
+
+
+@pytest.mark.parametrize("hot, paired, size", [(65_536, 2_048, 6_000_000), (40, 10, 2_000), (0, 1, 500)])
+def test_every_pair_counts(spark, docs, prose, monkeypatch, hot, paired, size):
+    """Against all pairs of all words counted exactly; only pairs in the filter may differ, by their levels."""
+    monkeypatch.setattr(lm, "HOT_WORDS", hot)
+    monkeypatch.setattr(lm, "PAIR_WORDS", paired)
+    monkeypatch.setattr(lm, "SHARD_BYTES", size)
+    monkeypatch.setattr(lm, "CHUNK", 100)
+    rows = [(i, "rare ones meet " * 2 + prose(5 + 13 * i % 90, i, 200)) for i in range(60)] + [(100, None), (101, "rare ones")]
+    tok = lambda t: [*(t or "").encode().lower().split(), b""]
+    train = [tok(t) for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(w for t in train for w in t)
+    n = Counter(p for t in train for p in zip([b"", *t], t))  # noqa: B905
+    total, once = sum(c.values()), sum(v == 1 for v in c.values())
+    found = {bytes(r.token) for r in lm._most_frequent(spark.createDataFrame([(bytearray(w), v) for w, v in c.items() if w], "token binary, c long"))} | {b""}
+    unseen = min(0.5, max(1, once) / total)
+    weight = lambda a: 4 * c[a] ** 0.8 if a in found else 10
+    single = lambda b: c[b] / total * (1 - unseen) if c[b] else unseen
+    want = {i: sum(math.log10((n[a, b] + weight(a) * single(b)) / (c[a] + weight(a))) for a, b in zip([b"", *tok(t)], tok(t))) for i, t in rows}  # noqa: B905
+    got = {r.doc_id: r.score for r in lm.score_texts(docs(rows), TRAIN).collect()}
+    assert got.keys() == want.keys()
+    near = 1e-9 if paired == 1 else 0.06
+    assert all(abs(got[i] - want[i]) <= near * max(1, len(tok(dict(rows)[i]))) for i in want)
