@@ -51,6 +51,25 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return let(a, lambda x: let(b, lambda y: let(shared(x, y), lambda n: n / (F.size(x) + F.size(y) - n))))
 
 
+def _starts(places: Column, size: Column, n: Column, shingle: int, similarity: float) -> Column:
+    """All starts of windows of `n` of a text's `size` words that can reach the similarity, given the sorted `places` of
+    the text's shingles that are the item's.
+
+    Of m shingles on either side, 2 m s / (1 + s) are shared at a similarity of s.  So that many places, neighbours in
+    the list, lie in the window.  A text of no more than `n` words is one window.
+    """
+    def body(at: Column) -> Column:
+        m = n - F.lit(shingle - 1)
+        least = F.greatest(F.lit(1), F.ceil(m * F.lit(2 * similarity / (1 + similarity)) - F.lit(1e-6)).cast("int"))
+        low = lambda i: F.greatest(F.lit(0), F.get(at, i + least - 1) - m + 1)
+        high = lambda i: F.least(F.get(at, i), size - n)
+        run = lambda i: F.when(low(i) <= high(i), F.sequence(low(i), high(i), F.lit(1))).otherwise(F.array().cast("array<int>"))
+        heads = F.when(F.size(at) >= least, F.sequence(F.lit(0), F.size(at) - least, F.lit(1))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.flatten(F.transform(heads, run)))
+
+    return F.when(size <= n, F.array(F.lit(0))).otherwise(let(places, body))
+
+
 def find_passages(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS,
@@ -58,8 +77,7 @@ def find_passages(
     """(`id_col`, `item_col`, `start`, `n_words`, `distance`, `similarity`): the best window of each document for each item found in it.
 
     A window has as many words as the item (a shorter document is one window); A-Z are lower-cased.
-    Windows lie where a shingle of the document is a shingle of the item, shifted so that the two meet; a
-    window without one has the similarity 0.  Window and item meet on the item and on any of
+    Every window is looked at that has enough shingles of the item to reach the similarity (see `_starts`).  Window and item meet on the item and on any of
     `radius` + 1 blocks of their SimHash, which no pair within the radius misses; then the exact
     similarity decides: shingles weighted by their counts, 0.8 or more.  Of several windows the most similar,
     then the first is given.
@@ -74,15 +92,15 @@ def find_passages(
     benchmark = checkpointed(benchmark.withColumn("ish", shingles(F.col("iw"), shingle)).where(F.size("ish") > 0))
     total = benchmark.agg(F.coalesce(F.sum(F.size("ish").cast("long")), F.lit(0))).first()[0]
     small = (lambda x: F.broadcast(x)) if total <= BROADCAST_SHINGLES else (lambda x: x)
-    anchors = small(benchmark.select("item", F.size("iw").alias("n"), F.posexplode("ish").alias("q", "h")))
+    anchors = small(benchmark.select("item", F.size("iw").alias("n"), F.explode(F.array_distinct("ish")).alias("h")))
 
     rows = c.df.select(c.col(id_col).alias("id"), F.coalesce(c.col(text_col), F.lit("")).alias("t")).where("id is not null")
     hashed = rows.select("id", F.xxhash64("t").alias("of"), hashed_words(F.col("t")).alias("w"))
     places = hashed.select("id", "of", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"), shingle)).alias("p", "h"))
-    at = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("size") - F.col("n")))
-    where = checkpointed(places.join(anchors, "h").select("id", "of", "item", at.alias("start")).distinct())
+    where = checkpointed(places.join(anchors, "h").select("id", "of", "item", "size", "n", "p").distinct())
 
-    per = where.groupBy("id", "of", "item").agg(F.collect_set("start").alias("starts"))
+    per = where.groupBy("id", "of", "item", "size", "n").agg(F.sort_array(F.collect_set("p")).alias("at"))
+    per = per.select("id", "of", "item", _starts(F.col("at"), F.col("size"), F.col("n"), shingle, similarity).alias("starts")).where(F.size("starts") > 0)
     whole = rows.select(F.col("id").alias("i"), F.xxhash64("t").alias("o"), "t")
     per = per.groupBy("id", "of").agg(F.collect_list(F.struct("item", "starts")).alias("found"))
     cut = per.join(whole, (F.col("id") == F.col("i")) & (F.col("of") == F.col("o")))

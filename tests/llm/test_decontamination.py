@@ -52,6 +52,23 @@ def test_documents_with_passages_go(docs, prose, items):
     assert sorted(map(str, (r.doc_id for r in without_passages(docs(rows), table).collect()))) == ["2", "3", "None"]
 
 
+def test_windows_between_alignments(spark, docs, prose):
+    """Replaced ends and words inserted, removed and repeated: the best window may lie at no shingle's own offset."""
+    item = prose(59, 700).split()
+    known = [(0, " ".join(item)), (1, prose(20, 701))]
+    rows = []
+    for k in range(1, 58):
+        rows.append((k, ["new", *item[1:k], "put", "in", *item[k:-1], "last"]))
+        rows.append((100 + k, ["new", *item[1:k], "in", *item[k:]]))
+        rows.append((200 + k, [*item[:k], *item[k + 2 :]]))
+        rows.append((300 + k, [*item[:k], *item[k - 1 :]]))
+    around = [(i, f"{prose(30, i + 1000)} {' '.join(w)} {prose(9, i + 2000)}" if i % 3 else " ".join(w)) for i, w in rows]
+    got = {(r.doc_id, r.item_id): r.similarity for r in find_passages(docs(around), spark.createDataFrame(known, "item_id long, text string")).collect()}
+    want = brute(around, known)
+    assert got.keys() == want.keys() and any(i < 100 for i, _ in want)
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_odd_rows(spark, odd, items):
     _, table = items
     assert find_passages(odd, table).count() == 0
