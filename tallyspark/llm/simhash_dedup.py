@@ -133,6 +133,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key, text = c.col(id_col), c.col(text_col)
     light = near_duplicates(c.df.select(key.alias("id"), text.alias("text")), "id", "text")
     first = light.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__first")).distinct()
+    return first_of(c, key, text, first)
+
+
+def first_of(c: Carried, key: Column, text: Column, first: DataFrame) -> DataFrame:
+    """The input's rows whose id is a `__first`, one for each; of null ids one for each distinct text."""
     rows = c.df.join(first, key.eqNullSafe(F.col("__first")), "left_semi")
     place = F.row_number().over(Window.partitionBy(key, F.when(key.isNull(), text)).orderBy(text))
     return c.restore(rows.withColumn("__place", place).where("__place = 1"))
