@@ -137,10 +137,15 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def first_of(c: Carried, key: Column, text: Column, first: DataFrame) -> DataFrame:
-    """The input's rows whose id is a `__first`, one for each; of null ids one for each distinct text."""
-    rows = c.df.join(first, key.eqNullSafe(F.col("__first")), "left_semi")
+    """The input's rows whose id is a `__first`, one for each; of null ids one for each distinct text.
+
+    Only rows whose id repeats, or is null, are ranked by their text."""
+    many = c.df.groupBy(key.alias("__id")).agg(F.count("*").alias("__n")).where((F.col("__n") > 1) | F.col("__id").isNull())
+    known = checkpointed(first.join(many, F.col("__first").eqNullSafe(F.col("__id")), "left").select("__first", F.col("__n").isNotNull().alias("__rank")))
+    alone = c.df.join(known.where("not __rank"), key == F.col("__first"), "left_semi")
+    rows = c.df.join(known.where("__rank"), key.eqNullSafe(F.col("__first")), "left_semi")
     place = F.row_number().over(Window.partitionBy(key, F.when(key.isNull(), text)).orderBy(text))
-    return c.restore(rows.withColumn("__place", place).where("__place = 1"))
+    return c.restore(alone.union(rows.withColumn("__place", place).where("__place = 1").drop("__place")))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
