@@ -8,9 +8,12 @@ no harm.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,22 +72,56 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def _shared(spark: SparkSession) -> str:
     """The folder for intermediate results, which the cluster names in `spark.checkpoint.dir`.
 
-    Only where none is named, as in tests on one machine, a temporary one is set.
+    Where none is named, as in tests, and all tasks run in the driver's process, a temporary one is set, which goes when the
+    process ends.  On a cluster that names none this raises: a folder of one machine would be lost with it.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+            named = tempfile.mkdtemp(prefix="tallyspark-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
+#: Rows, of a few numbers each, that one task of a shuffle gets in `sized`.
+ROWS_EACH = 200_000
+
+
+@contextmanager
+def sized(spark: SparkSession, rows: int, least: int = 4):
+    """Inside, shuffles have as many partitions as `rows` short rows need: for loops over a table whose size is known."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, max(least, -(-rows // ROWS_EACH)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder, its lineage cut; for rows without texts."""
     _shared(df.sparkSession)
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_shared(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """`df` as a table in the shared folder, compressed and by column; for rows with texts."""
-    path = f"{_shared(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def removed(spark: SparkSession) -> None:
+    """Deletes all intermediate results of this session.  To be called when its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_shared(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

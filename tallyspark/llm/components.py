@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, sized
 
 
 #: Parts into which the neighbours of a node are dealt.
@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     smallest of them (a star), first towards larger neighbours, then towards smaller ones; the
     number of rounds grows with the logarithm of the longest path.  A round groups by node with
     partial minima, and joins those minima back, where adaptive execution can split a node of very
-    many edges.  Each round is written to the shared checkpoint folder.  Loops, repeated edges and
+    many edges; its shuffles have as many partitions as the edges need.  Each round is written to the shared checkpoint folder.  Loops, repeated edges and
     nulls in `edges` are dropped; without edges the result is empty.
     """
     a, b = (F.col(c) for c in edges.toDF("__a", "__b").columns)
@@ -33,6 +33,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges.toDF("__a", "__b").where(a.isNotNull() & b.isNotNull() & (a != b))
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     )
+    with sized(edges.sparkSession, 2 * SALTS * now.count()):
+        return _smallest(now)
+
+
+def _smallest(now: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = now.union(now.select(F.col("v"), F.col("u"))).toDF("u", "v")
