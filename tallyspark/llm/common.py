@@ -103,22 +103,20 @@ def sized(spark: SparkSession, rows: int, least: int = 4):
         spark.conf.set(name, before)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder, its lineage cut; for rows without texts."""
-    _shared(df.sparkSession)
-    return df.checkpoint()
-
-
 def scratch(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder."""
     return f"{_shared(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """`df` as a table in the shared folder, compressed and by column; for rows with texts."""
+    """`df` as a table in the shared folder, its lineage cut; a lost executor takes nothing of it along.
+
+    Unlike a checkpoint, a table has the size that it has.  A checkpoint keeps the estimate of its plan, a product over all
+    joins before it, which in a loop of joins grows until the driver does nothing but multiply.
+    """
     path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def removed(spark: SparkSession) -> None:

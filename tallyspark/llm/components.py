@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, sized
+from .common import sized, stored
 
 
 #: Parts into which the neighbours of a node are dealt.
@@ -25,11 +25,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     smallest of them (a star), first towards larger neighbours, then towards smaller ones; the
     number of rounds grows with the logarithm of the longest path.  A round groups by node with
     partial minima, and joins those minima back, where adaptive execution can split a node of very
-    many edges; its shuffles have as many partitions as the edges need.  Each round is written to the shared checkpoint folder.  Loops, repeated edges and
+    many edges; its shuffles have as many partitions as the edges need.  Each round is written to the shared folder.  Loops, repeated edges and
     nulls in `edges` are dropped; without edges the result is empty.
     """
     a, b = (F.col(c) for c in edges.toDF("__a", "__b").columns)
-    now = checkpointed(
+    now = stored(
         edges.toDF("__a", "__b").where(a.isNotNull() & b.isNotNull() & (a != b))
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     )
@@ -46,7 +46,7 @@ def _smallest(now: DataFrame) -> DataFrame:
         large = large.where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _joined(large, low).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        after = checkpointed(small.select("e.u", "e.v").where("u != v").distinct())
+        after = stored(small.select("e.u", "e.v").where("u != v").distinct())
         mark = after.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             return after.select(F.col("u").alias("node"), F.col("v").alias("component")).union(after.select(F.col("v"), F.col("v")).distinct())

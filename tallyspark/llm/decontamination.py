@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Carried, ascii_lower, checkpointed, documents, let, words
+from .common import Carried, ascii_lower, documents, let, stored, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits in which a window's fingerprint may differ from its item's.  At a similarity of 0.8 each bit differs with a
@@ -89,7 +89,7 @@ def find_passages(
     """
     c, d = Carried(docs), Carried(items)
     benchmark = d.df.select(d.col(item_col).alias("item"), hashed_words(d.col(item_text_col)).alias("iw")).where("item is not null").distinct()
-    benchmark = checkpointed(benchmark.withColumn("ish", shingles(F.col("iw"), shingle)).where(F.size("ish") > 0))
+    benchmark = stored(benchmark.withColumn("ish", shingles(F.col("iw"), shingle)).where(F.size("ish") > 0))
     total = benchmark.agg(F.coalesce(F.sum(F.size("ish").cast("long")), F.lit(0))).first()[0]
     small = (lambda x: F.broadcast(x)) if total <= BROADCAST_SHINGLES else (lambda x: x)
     anchors = small(benchmark.select("item", F.size("iw").alias("n"), F.explode(F.array_distinct("ish")).alias("h")))
@@ -97,7 +97,7 @@ def find_passages(
     rows = c.df.select(c.col(id_col).alias("id"), F.coalesce(c.col(text_col), F.lit("")).alias("t")).where("id is not null")
     hashed = rows.select("id", F.xxhash64("t").alias("of"), hashed_words(F.col("t")).alias("w"))
     places = hashed.select("id", "of", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"), shingle)).alias("p", "h"))
-    where = checkpointed(places.join(anchors, "h").select("id", "of", "item", "size", "n", "p").distinct())
+    where = stored(places.join(anchors, "h").select("id", "of", "item", "size", "n", "p").distinct())
 
     per = where.groupBy("id", "of", "item", "size", "n").agg(F.sort_array(F.collect_set("p")).alias("at"))
     per = per.select("id", "of", "item", _starts(F.col("at"), F.col("size"), F.col("n"), shingle, similarity).alias("starts")).where(F.size("starts") > 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Carried, ascii_lower, checkpointed, documents
+from .common import ASCII_SPACE, Carried, ascii_lower, documents, stored
 
 
 #: Parts into which the rows of one line are dealt when they meet what is known of it.
@@ -45,7 +45,7 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.where(F.length("__key") >= max(1, min_chars))
     rows = rows.select("__id", "__of", "__at", F.xxhash64("__key").alias("__h"), F.xxhash64(F.lit(1), F.col("__key")).alias("__g"))
     often = rows.groupBy("__h", "__g").count().where(F.col("count") >= min_docs).drop("count")
-    rows = checkpointed(_having(rows, often))
+    rows = stored(_having(rows, often))
     common = rows.select("__id", "__h", "__g").distinct().groupBy("__h", "__g").count().where(F.col("count") >= min_docs).drop("count")
     gone = _having(rows, common).groupBy("__id", "__of").agg(F.collect_set("__at").alias("__gone"))
     gone = gone.select(doc.alias("__gone_id"), F.col("__of").alias("__gone_of"), "__gone")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Carried, checkpointed, documents
+from .common import Carried, documents, stored
 from .components import connected_components
 
 SHINGLE = 3
@@ -78,7 +78,7 @@ def links(fingerprints: DataFrame, long_list: int = 64) -> DataFrame:
     posts = [F.struct(F.lit(n).alias("which"), F.shiftleft(pairs[i], 16).bitwiseOR(pairs[j]).alias("bytes")) for n, (i, j) in enumerate(combinations(range(4), 2))]
     index = fingerprints.select("__fp", F.explode(F.array(*posts)).alias("p")).select("__fp", "p.which", "p.bytes")
     sizes = index.groupBy("which", "bytes").agg(F.count("*").alias("n")).where("n > 1")
-    index = checkpointed(index.join(sizes, ["which", "bytes"]))
+    index = stored(index.join(sizes, ["which", "bytes"]))
 
     short = index.where(F.col("n") <= long_list)
     a, b = short.alias("a"), short.alias("b")
@@ -109,13 +109,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     c = Carried(docs)
     keep = [k for k in c.df.columns if k != c.key(text_col)]
-    rows = checkpointed(with_fingerprints(c.df, c.col(text_col), keep, shingle))
+    rows = stored(with_fingerprints(c.df, c.col(text_col), keep, shingle))
     fp = F.col("__fp")
-    nodes = checkpointed(rows.groupBy("__fp").agg(F.min(c.col(id_col)).alias("__least")))
+    nodes = stored(rows.groupBy("__fp").agg(F.min(c.col(id_col)).alias("__least")))
     found = connected_components(links(nodes.select("__fp")))
     least = found.join(nodes, fp == F.col("node")).groupBy("component").agg(F.min("__least").alias("__whole"))
     linked = found.join(least, "component").select(F.col("node").alias("__of"), "__whole")
-    of = checkpointed(nodes.join(linked, fp == F.col("__of"), "left").select(fp.alias("__of"), F.coalesce("__whole", "__least").alias("__component")))
+    of = stored(nodes.join(linked, fp == F.col("__of"), "left").select(fp.alias("__of"), F.coalesce("__whole", "__least").alias("__component")))
     out = rows.join(of, fp == F.col("__of"))
     new = {"fingerprint": F.lower(F.lpad(F.hex(fp), 16, "0")), "component_id": F.col("__component")}
     names = [n for n in c.names if n != text_col]
@@ -141,7 +141,7 @@ def first_of(c: Carried, key: Column, text: Column, first: DataFrame) -> DataFra
 
     Only rows whose id repeats, or is null, are ranked by their text."""
     many = c.df.groupBy(key.alias("__id")).agg(F.count("*").alias("__n")).where((F.col("__n") > 1) | F.col("__id").isNull())
-    known = checkpointed(first.join(many, F.col("__first").eqNullSafe(F.col("__id")), "left").select("__first", F.col("__n").isNotNull().alias("__rank")))
+    known = stored(first.join(many, F.col("__first").eqNullSafe(F.col("__id")), "left").select("__first", F.col("__n").isNotNull().alias("__rank")))
     alone = c.df.join(known.where("not __rank"), key == F.col("__first"), "left_semi")
     rows = c.df.join(known.where("__rank"), key.eqNullSafe(F.col("__first")), "left_semi")
     place = F.row_number().over(Window.partitionBy(key, F.when(key.isNull(), text)).orderBy(text))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Carried, checkpointed, documents
+from .common import Carried, documents, stored
 
 #: Labelled rows of each class that a model is fitted on, and expressions of each length that it keeps.
 MAX_ROWS_PER_CLASS, MAX_EXPRESSIONS = 20_000, 100_000
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         balanced = balanced.join(keep, "__id", "left_semi")
     balanced = balanced.dropDuplicates(["__text", "__y"])  # copies are one witness
     counted = balanced.select("__text", "__y").mapInArrow(_count_words, "word string, t long, o long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    counted = checkpointed(counted)
+    counted = stored(counted)
     total = counted.agg(F.sum("t"), F.sum("o"), F.sum((F.col("t") > 0).cast("int")), F.sum((F.col("o") > 0).cast("int"))).first()
     if not total[0] or not total[1]:
         return Model(prior=share[1] / (share[0] + share[1] + 1))
