@@ -3,15 +3,17 @@
 All word pairs count.  A word b behind a word a has the probability (n(a, b) + m(a) P(b)) / (c(a) + m(a)), with the
 weight m(a) of the single words a function of c(a) for the `HOT_WORDS` most frequent words, and a constant for others.
 
-Counts of the pairs of the `PAIR_WORDS` most frequent words are held in a log-frequency Bloom filter: a pair whose count is
-of level q (1 + floor(log2 count)) is entered q times, as (pair, 1) .. (pair, q), and its count is read back by
-probing levels from 1 until one is missing.  There are at most `PAIR_WORDS`^2 of them whatever the size of
-the corpus, so this filter, and the exact counts of the hot words, are broadcast.
-
-All other pairs are as many as the corpus makes them.  They are dealt to hash shards, as many as the texts need, packed by
-chunks of texts; a shard has every occurrence of its pairs and counts them exactly.  A pair with a rarer
-word as its second goes with that word, whose exact count comes out at the same place.  A pair that is not in the filter
-has at most a `PAIR_WORDS`th of the words, so no shard is much larger than others.  Shards answer by chunk.
+Counts of all pairs are held in a log-frequency Bloom filter: a pair whose count is
+of level q (1 + floor(log2 count)) is entered q times, as (pair, 1) .. (pair, q), and its count is read back, as the mean of its
+level, by probing levels from 1 until one is missing.  No score sees a pair's count but by such probes.
+
+The filter is cut by hash.  It grows with the corpus, so only a part of a proven bound is broadcast: that of the pairs of
+the `PAIR_WORDS` most frequent words, at most `PAIR_WORDS`^2 whatever the size of the corpus, with the exact counts of the
+hot words.  All other pairs are dealt to hash shards, as many as the texts need, packed by chunks of texts.  A shard
+has every occurrence of its pairs: it counts those of training texts, enters the counts' levels into its part
+of the filter, and answers all texts by probing it, chunk by chunk.  A pair with a rarer
+word as its second goes with that word, whose exact count comes out at the same place.  A pair that is not broadcast
+has at most a `PAIR_WORDS`th of the words, so no shard is much larger than others.
 
 A rarer word is known by 62 bits of its XXH64.
 """
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Carried, checkpointed, documents
+from .common import Carried, documents, stored
 
 HOT_WORDS, PAIR_WORDS = 65_536, 2_048
 #: Of the filter: bits for each entry, probes, parts in which it is built, most levels.
@@ -70,6 +72,35 @@ def shard(pairs: np.ndarray) -> np.ndarray:
     return (mixed(pairs.astype(np.uint64)) % np.uint64(SHARDS)).astype(np.int64)
 
 
+def probed(keys: np.ndarray, level_means: np.ndarray, has) -> np.ndarray:
+    """The count that a filter has of each key: the mean of its level, 0 where level 1 is missing.  `has` says of the keys at
+    some places which have a level."""
+    out, at = np.zeros(len(keys)), np.arange(len(keys))
+    for q in range(1, len(level_means)):
+        at = at[has(at, q)]
+        if not len(at):
+            break
+        out[at] = level_means[q]
+    return out
+
+
+def quantised(keys: np.ndarray, counts: np.ndarray, each: int = BITS) -> np.ndarray:
+    """The counts of distinct keys as they come back from a filter that holds those above 0, with `each` bits an entry."""
+    held = np.flatnonzero(counts > 0)
+    if not len(held):
+        return np.zeros(len(keys))
+    levels = np.minimum(np.frexp(counts[held])[1], LEVELS)
+    means = np.bincount(levels, counts[held]) / np.maximum(np.bincount(levels), 1)
+    bits = max(64, 8 * math.ceil(int(levels.sum()) * each / 8))
+    table = np.frombuffer(filled(keys[held], levels, bits), np.uint8)
+
+    def has(at: np.ndarray, q: int) -> np.ndarray:
+        p = positions(keys[at], q, bits).astype(np.int64)
+        return (table[p >> 3] >> (p & 7).astype(np.uint8) & 1).all(0)
+
+    return probed(keys, means, has)
+
+
 def filled(pairs: np.ndarray, levels: np.ndarray, bits: int) -> bytes:
     """The bits of one shard."""
     out = np.zeros(bits, np.uint8)
@@ -89,7 +120,8 @@ class Model:
     filter: np.ndarray  # shards, packed
     level_means: np.ndarray  # mean count of a pair by level
     stay: np.ndarray  # by place: the share of a word's followers that is left to single words
-    pair_words: int = PAIR_WORDS  # pairs of places below are in the filter
+    pair_words: int = PAIR_WORDS  # pairs of places below are in the broadcast part of the filter
+    each: int = BITS  # bits of the other parts for each entry
 
     def weight(self, places: np.ndarray) -> np.ndarray:
         return WEIGHT * np.maximum(self.counts[places], 1) ** POWER
@@ -107,16 +139,14 @@ class Model:
         return np.log10(np.where(c > 0, c / self.total * (1 - unseen), unseen))
 
     def count_of(self, pairs: np.ndarray) -> np.ndarray:
-        """The count that the filter has of each pair: the mean of its level, 0 where level 1 is missing."""
-        out, at, part = np.zeros(len(pairs)), np.arange(len(pairs)), shard(pairs)
-        for q in range(1, len(self.level_means)):
+        """The count that the broadcast part of the filter has of each pair of places."""
+        part = shard(pairs)
+
+        def has(at: np.ndarray, q: int) -> np.ndarray:
             p = positions(pairs[at], q, self.bits).astype(np.int64)
-            there = (self.filter[part[at][None, :], p >> 3] >> (p & 7).astype(np.uint8) & 1).all(0)
-            at = at[there]
-            if not len(at):
-                break
-            out[at] = self.level_means[q]
-        return out
+            return (self.filter[part[at][None, :], p >> 3] >> (p & 7).astype(np.uint8) & 1).all(0)
+
+        return probed(pairs, self.level_means, has)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,17 +213,17 @@ def _most_frequent(counts: DataFrame) -> list:
 def learn(texts: DataFrame) -> tuple[Model, DataFrame]:
     """The model of the column `text`, and the exact count `c` of every training `token`."""
     spark = texts.sparkSession
-    counts = checkpointed(texts.select("text").mapInArrow(_gathered, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")))
+    counts = stored(texts.select("text").mapInArrow(_gathered, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")))
     n, v, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum((F.col("c") == 1).cast("long")), F.lit(0))).first()
     end = F.col("token") == F.lit(bytearray(END))
     top = counts.where(end).collect() + _most_frequent(counts.where(~end))  # the end is first
     hot = {bytes(r.token): i for i, r in enumerate(top)}
-    model = Model(n, v, once, hot, np.array([r.c for r in top], np.int64), 8, np.zeros((SHARDS, 1), np.uint8), np.zeros(1), np.ones(len(top)), PAIR_WORDS)
+    model = Model(n, v, once, hot, np.array([r.c for r in top], np.int64), 8, np.zeros((SHARDS, 1), np.uint8), np.zeros(1), np.ones(len(top)), PAIR_WORDS, BITS)
     if not n:
         return model, counts
     weight = model.weight(np.arange(len(top)))
     model.stay = weight / (model.counts + weight)
-    pairs = checkpointed(texts.select("text").mapInArrow(_pairs_of({w: i for w, i in hot.items() if i < PAIR_WORDS}), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")))
+    pairs = stored(texts.select("text").mapInArrow(_pairs_of({w: i for w, i in hot.items() if i < PAIR_WORDS}), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")))
     level = F.least(F.lit(LEVELS), F.floor(F.log2("c") + F.lit(1e-9)) + 1).cast("int")
     stats = pairs.groupBy(level.alias("q")).agg(F.count("*").alias("n"), F.avg("c").alias("mean")).collect()
     if not stats:
@@ -368,10 +398,11 @@ def _answered(held):
 
 
 def _shard_scored(model: Model, hot: int, one: np.ndarray, two: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Base, model and known of a shard's pairs, in the form that `_sent` gives them."""
+    """Base, model and known of a shard's pairs, in the form that `_sent` gives them.  The pairs' counts come from the
+    shard's part of the filter."""
     base, score, known = np.zeros(len(one)), np.zeros(len(one)), np.zeros(len(one), np.int64)
-    _, back = np.unique(mixed(one.astype(np.uint64) ^ mixed(two.astype(np.uint64))), return_inverse=True)
-    n = np.bincount(back, train)[back]
+    keys, back = np.unique(mixed(one.astype(np.uint64) ^ mixed(two.astype(np.uint64))), return_inverse=True)
+    n = quantised(keys, np.bincount(back, train), model.each)[back]
     weight, single = np.full(len(one), RARE_WEIGHT), np.zeros(len(one))
     plain = one >= 0
     second = np.flatnonzero(~plain & (two < hot))  # the rarer word is the second
@@ -410,8 +441,9 @@ def score_texts(docs: DataFrame, train: Column | str, id_col: str = "doc_id", te
     Returns id, `held_out`, `n_tokens`, `n_known` (tokens found in training), `train_tokens`,
     `base_score` (add-0.1 single words) and `score`, the model's log10 probability of the text.
     Null and empty texts are the end alone.  Rows with a null id are held out.
-    Repeated rows each get a row.  Without training texts both scores are the base's.
-    Other columns are left behind.
+    Repeated rows each get a row, and equal texts equal scores.  Without training texts both scores are the base's; an empty
+    table gives an empty one.  Long texts are scored whole: a task holds one text's tokens at a time besides its chunk.
+    Other columns are left behind, whatever their names.
     """
     c = Carried(docs)
     rows = c.df.select(F.monotonically_increasing_id().alias("uid"), c.col(id_col).alias("id"), c.col(text_col).alias("text"))

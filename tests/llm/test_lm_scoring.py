@@ -74,12 +74,20 @@ def test_odd_rows(odd):
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.score == r.base_score == 0 for r in none)
 
 
-@pytest.mark.parametrize("hot, paired, size", [(65_536, 2_048, 6_000_000), (40, 10, 2_000), (0, 1, 500)])
-def test_every_pair_counts(spark, docs, prose, monkeypatch, hot, paired, size):
-    """Against all pairs of all words counted exactly; only pairs in the filter may differ, by their levels."""
+def means(counts):
+    """The mean count of each level, 1 + floor(log2 count)."""
+    by = {}
+    for v in counts:
+        by.setdefault(v.bit_length(), []).append(v)
+    return {q: sum(v) / len(v) for q, v in by.items()}
+
+
+@pytest.mark.parametrize("hot, paired", [(65_536, 2_048), (40, 10), (0, 1)])
+def test_score_matches_brute_force(spark, docs, prose, monkeypatch, hot, paired):
+    """Against the formulas, with counts of all pairs by level; with so many bits a filter errs in no pair."""
     monkeypatch.setattr(lm, "HOT_WORDS", hot)
     monkeypatch.setattr(lm, "PAIR_WORDS", paired)
-    monkeypatch.setattr(lm, "SHARD_BYTES", size)
+    monkeypatch.setattr(lm, "BITS", 400)
     monkeypatch.setattr(lm, "CHUNK", 100)
     rows = [(i, "rare ones meet " * 2 + prose(5 + 13 * i % 90, i, 200)) for i in range(60)] + [(100, None), (101, "rare ones")]
     tok = lambda t: [*(t or "").encode().lower().split(), b""]
@@ -87,12 +95,38 @@ def test_every_pair_counts(spark, docs, prose, monkeypatch, hot, paired, size):
     c = Counter(w for t in train for w in t)
     n = Counter(p for t in train for p in zip([b"", *t], t))  # noqa: B905
     total, once = sum(c.values()), sum(v == 1 for v in c.values())
-    found = {bytes(r.token) for r in lm._most_frequent(spark.createDataFrame([(bytearray(w), v) for w, v in c.items() if w], "token binary, c long"))} | {b""}
+    top = [b""] + [bytes(r.token) for r in lm._most_frequent(spark.createDataFrame([(bytearray(w), v) for w, v in c.items() if w], "token binary, c long"))]
+    head = set(top[:paired])
+    kept = [{p: v for p, v in n.items() if (p[0] in head and p[1] in head) == inside} for inside in (True, False)]
+    by = [means(k.values()) for k in kept]
+    q = {p: by[i][v.bit_length()] for i in (0, 1) for p, v in kept[i].items()}
     unseen = min(0.5, max(1, once) / total)
-    weight = lambda a: 4 * c[a] ** 0.8 if a in found else 10
+    weight = lambda a: 4 * c[a] ** 0.8 if a in top else 10
     single = lambda b: c[b] / total * (1 - unseen) if c[b] else unseen
-    want = {i: sum(math.log10((n[a, b] + weight(a) * single(b)) / (c[a] + weight(a))) for a, b in zip([b"", *tok(t)], tok(t))) for i, t in rows}  # noqa: B905
+    want = {i: sum(math.log10((q.get((a, b), 0) + weight(a) * single(b)) / (c[a] + weight(a))) for a, b in zip([b"", *tok(t)], tok(t))) for i, t in rows}  # noqa: B905
     got = {r.doc_id: r.score for r in lm.score_texts(docs(rows), TRAIN).collect()}
     assert got.keys() == want.keys()
-    near = 1e-9 if paired == 1 else 0.06
-    assert all(abs(got[i] - want[i]) <= near * max(1, len(tok(dict(rows)[i]))) for i in want)
+    assert all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+
+
+def test_shards_change_no_count_but_by_their_means(docs, prose, monkeypatch):
+    rows = [(i, prose(5 + 13 * i % 90, i, 200)) for i in range(60)]
+    whole = {r.doc_id: r.score / r.n_tokens for r in lm.score_texts(docs(rows), TRAIN).collect()}
+    monkeypatch.setattr(lm, "SHARD_BYTES", 2_000)
+    parts = {r.doc_id: r.score / r.n_tokens for r in lm.score_texts(docs(rows), TRAIN).collect()}
+    assert all(parts[i] == pytest.approx(whole[i], abs=0.05) for i in whole)
+
+
+def test_copies_of_training_texts_score_apart(docs, prose):
+    """Held-out copies of texts that are trained on are likelier, a token, than others."""
+    learned = [i for i in range(300) if zlib.crc32(str(i).encode()) % 10]
+    held = [i for i in range(300, 900) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = [(i, prose(80, i)) for i in learned] + [(i, prose(80, learned[k] if k % 2 else 5000 + i)) for k, i in enumerate(held)]
+    got = {r.doc_id: r.score / r.n_tokens for r in lm.score_texts(docs(rows), TRAIN).collect()}
+    twice, once = [got[i] for k, i in enumerate(held) if k % 2], [got[i] for k, i in enumerate(held) if not k % 2]
+    assert min(twice) > max(once)
+
+
+def test_a_very_long_text_and_repeated_rows(docs):
+    got = lm.score_texts(docs([(1, "a b " * 300_000), (2, "a b"), (2, "a b"), (3, "")]), TRAIN).collect()
+    assert len(got) == 4 and {r.n_tokens for r in got} == {600_001, 3, 1}
