@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from tallyspark.llm.secret_scan import BASE_RULES, RULES, Rule, scan_versions
+from tallyspark.llm.secret_scan import BASE_RULES, LEDGER, RULES, Rule, scan_versions, scan_with_ledger
 
 A = re.compile(r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", re.A)
 
@@ -46,6 +46,23 @@ def test_only_unseen_pairs_of_blob_and_rule_are_scanned(docs):
     assert len(fourth.first().spans) == 1 and grown.count() == 2 * len(RULES) + 1
 
 
+def test_runs_against_a_stored_ledger(spark, docs, tmp_path):
+    path = str(tmp_path / "ledger")
+    got = [scan_with_ledger(docs(rows), path).collect() for rows in ([(1, TEXTS[0]), (2, TEXTS[5])], [(1, TEXTS[0]), (2, TEXTS[5])], [(1, TEXTS[2]), (3, TEXTS[0])])]
+    assert sorted(map(str, got[0])) == sorted(map(str, got[1]))
+    assert {r.doc_id: len(r.spans) for r in got[2]} == {1: 2, 3: 1}
+    ledger = spark.read.schema(LEDGER).parquet(path)
+    assert ledger.count() == 3 * len(RULES) == ledger.select("blob", "kind", "version").distinct().count()
+
+
+def test_many_matches_and_very_long_texts(docs):
+    text = "token=abcdefgh " * 20_000 + "x" * 1_000_000
+    found, _ = scan_versions(docs([(1, text), (2, "token=abcdefgh " * 129), (3, "token=abcdefgh " * 128)]))
+    got = {r.doc_id: [(s.start, s.stop) for s in r.spans] for r in found.collect()}
+    assert {i: len(v) for i, v in got.items()} == {1: 20_000, 2: 129, 3: 128}
+    assert all(v == [(15 * k, 15 * k + 14) for k in range(len(v))] for v in got.values())
+
+
 def test_all_versions_of_a_path(spark):
     rows = [("a", 1, "token=abcdefgh"), ("a", 2, "nothing"), ("b", 1, "token=abcdefgh")]
     found, _ = scan_versions(spark.createDataFrame(rows, "path string, version int, content string"), id_cols=("path", "version"), text_col="content")
