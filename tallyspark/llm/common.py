@@ -116,10 +116,21 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table of `stored` that no later step reads."""
+    _delete(df.sparkSession, df.stored_at)
 
 
 def removed(spark: SparkSession) -> None:
     """Deletes all intermediate results of this session.  To be called when its results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_shared(spark))
+    _delete(spark, _shared(spark))
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, stored
+from .common import forget, sized, stored
 
 
 #: Parts into which the neighbours of a node are dealt.
@@ -50,4 +50,5 @@ def _smallest(now: DataFrame) -> DataFrame:
         mark = after.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             return after.select(F.col("u").alias("node"), F.col("v").alias("component")).union(after.select(F.col("v"), F.col("v")).distinct())
+        forget(now)
         now, seen = after, mark
