@@ -1,28 +1,45 @@
-"""Operator 9: toxicity by class-conditional Kneser-Ney models."""
+"""Operator 9: toxicity by class-conditional Kneser-Ney models.
+
+A class's model gives each word of a text a probability behind the word before it.  It has three kinds of counts, all of them
+continuation counts: of pairs of words, by the distinct words before a pair; of single words, by the distinct words before
+them; and of spellings, over distinct words, by runs of up to `SPELLED` characters, the shorter ones by the distinct characters before them.
+Copies of a line or a text add nothing to such counts.  At each kind
+a class's discounted counts are interpolated with the shared ones, and these with the next shorter context:
+
+    P(x | h) = share(h, x) + left(h) * (shared share(h, x) + shared left(h) * P(x | shorter h))
+
+A class's count n of (h, x) keeps what exceeds its discount, a number that grows with the logarithm of the lines counted, as chance counts do, put to
+this class's size if it is the larger, and `EXPLAINED` times the other class's count, put to this class's size; share(h, x) is what it keeps, by n(h).  What is taken off, of both classes, is the shared count of (h, x), of which that number
+is taken off in its turn; left(h) is what is taken off, by n(h).  So rare expressions, and those that are usual in both
+classes, have shared counts alone, and make no difference; an expression that one class has often and the other one seldom does.
+Each level sums to 1, so each model is a distribution over all texts.
+
+A text's score is a function of one number: the difference of its two log-likelihoods, divided by its length in words.
+"""
 
 from __future__ import annotations
 
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Carried, documents, stored
+from .common import Carried, documents
 
-#: Labelled rows of each class that a model is fitted on, and expressions of each length that it keeps.
-MAX_ROWS_PER_CLASS, MAX_EXPRESSIONS = 20_000, 100_000
-#: Characters of the stems that a word backs off to, longest first; discount of each count; least count of a kept word.
-STEMS, DISCOUNT, LEAST = (5, 4), 0.75, 3
-#: Shared counts that either class has of every expression besides its own.
-SHARED = 1.0
-#: From here on a word's log-likelihood ratio counts as evidence of its own.
-STRONG = 2.0
+#: Labelled rows of each class that a model is fitted on, rows that it is calibrated on, the characters of either, and of the
+#: longest text that is fitted on: the bound of what reaches the driver.
+MAX_ROWS, MAX_CALIBRATION, MAX_CHARS, LONGEST = 1_000, 3_000, 8_000_000, 200_000
+#: Characters of the longest run of a spelling.
+SPELLED = 5
+#: What is taken off a class's count for each of the other class's.
+EXPLAINED = 3.0
+START, STOP = "\x02", "\x03"
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -31,172 +48,269 @@ def tokens(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+class Discounted:
+    """Counts of (h, x) less what is taken of each: `share` (h, x) -> (n - taken) / n(h), `left` h -> what is taken of all."""
+
+    def __init__(self, counts: dict[tuple[str, str], float], taken: dict[tuple[str, str], float]):
+        total: Counter = Counter()
+        gone: Counter = Counter()
+        for k, v in counts.items():
+            total[k[0]] += v
+            gone[k[0]] += taken[k]
+        self.share = {k: (v - taken[k]) / total[k[0]] for k, v in counts.items() if v > taken[k]}
+        self.left = {h: gone[h] / v for h, v in total.items()}
+
+    def of(self, h: str, x: str) -> tuple[float, float]:
+        return self.share.get((h, x), 0.0), self.left.get(h, 1.0)
+
+
+def split(counts: list[Counter], least: float) -> tuple[list[Discounted], Discounted]:
+    """The counts that each of two classes keeps, and the shared ones: what is taken of both."""
+    sums = [max(1, sum(n.values())) for n in counts]
+    taken = []
+    for own, other, scale in ((counts[0], counts[1], sums[0] / sums[1]), (counts[1], counts[0], sums[1] / sums[0])):
+        taken.append({k: min(n, least * max(1, scale) + EXPLAINED * scale * other[k]) for k, n in own.items()})
+    shared: Counter = Counter()
+    for t in taken:
+        for k, v in t.items():
+            shared[k] += v
+    return [Discounted(n, t) for n, t in zip(counts, taken, strict=True)], Discounted(shared, {k: min(v, least) for k, v in shared.items()})
+
+
+def runs_of(words: Iterable[str]) -> list[Counter]:
+    """By size, (run without its last character, last character) -> count; of sizes below `SPELLED` distinct characters before."""
+    levels: list[Counter] = [Counter() for _ in range(SPELLED + 1)]
+    for w in words:
+        w = START + w + STOP
+        for i in range(1, len(w)):
+            at = max(0, i - SPELLED + 1)
+            levels[i + 1 - at][w[at:i], w[i]] += 1  # shorter than SPELLED: it begins the word
+    for size in range(SPELLED, 1, -1):
+        for h, x in levels[size]:
+            levels[size - 1][h[1:], x] += 1
+    return levels
+
+
+class KneserNey:
+    """The models of two classes of `texts` (lines, as lists of words), each with the counts of its own and the shared ones."""
+
+    def __init__(self, texts: list[list[list[str]]]):
+        self.least = math.log2(1 + sum(map(len, texts)) / 2) / 2
+        pairs = []
+        for of in texts:
+            found: set[tuple[str, str, str]] = set()
+            for words in {tuple(w) for w in of}:
+                found.update(zip([START, START, *words], [START, *words], words))  # noqa: B905
+            pairs.append(Counter((a, b) for _, a, b in found))
+        singles = [Counter(("", b) for _, b in n) for n in pairs]
+        runs = [runs_of(b for _, b in n) for n in singles]
+        self.words = sorted({b for n in singles for _, b in n})
+        self.letters = 1 + len({x for r in runs for level in r for _, x in level})  # and all others as one
+        self.pairs, self.all_pairs = split(pairs, self.least)
+        self.singles, self.all_singles = split(singles, self.least)
+        levels = [split([r[size] for r in runs], self.least) for size in range(SPELLED + 1)]
+        self.runs = [[own[k] for own, _ in levels] for k in range(2)]
+        self.all_runs = [shared for _, shared in levels]
+        self._known: list[dict[str, float]] = [{} for _ in texts]
+
+    def letter(self, k: int, run: str) -> float:
+        """Of the last character of `run` behind the others, in class `k`."""
+        if not run:
+            return 1 / self.letters
+        known = self._known[k].get(run)
+        if known is None:
+            size, h, x = len(run), run[:-1], run[-1]
+            (a, left), (s, rest) = self.runs[k][size].of(h, x), self.all_runs[size].of(h, x)
+            known = a + left * (s + rest * self.letter(k, run[1:]))
+            self._known[k][run] = known
+        return known
+
+    def spelling(self, k: int, word: str) -> float:
+        w = START + word + STOP
+        return math.prod(self.letter(k, w[max(0, i - SPELLED + 1) : i + 1]) for i in range(1, len(w)))
+
+    def single(self, k: int, word: str) -> float:
+        (a, left), (s, rest) = self.singles[k].of("", word), self.all_singles.of("", word)
+        return a + left * (s + rest * self.spelling(k, word))
+
+    def probability(self, k: int, word: str, before: str) -> float:
+        (a, left), (s, rest) = self.pairs[k].of(before, word), self.all_pairs.of(before, word)
+        return a + left * (s + rest * self.single(k, word))
+
+
 @dataclass
 class Model:
-    """Log-likelihood ratios, toxic over ordinary, of words, of unseen words by stem, and the calibration."""
-
-    words: dict[str, float] = field(default_factory=dict)
-    stems: list[dict[str, float]] = field(default_factory=list)
-    weights: tuple[float, ...] | None = None
+    """Both classes' models, compiled for their difference, and the calibration of it."""
+
+    words: dict[str, int] = field(default_factory=dict)  # known words, from 1; 0 is what is before a text
+    left: np.ndarray = field(default_factory=lambda: np.ones((2, 1)))  # by known word, and last for all others
+    singles: np.ndarray = field(default_factory=lambda: np.ones((2, 1)))
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # a * (known words + 1) + b
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
+    runs: dict[str, float] = field(default_factory=dict)  # log-ratio of the last character
+    runs_left: dict[str, float] = field(default_factory=dict)  # log-ratio of what is left behind a run
+    rest: float = 0.0
+    usual: float = 0.0  # difference of an ordinary text, and of one without words
+    scale: float = 1.0  # of the difference, by its spread among ordinary texts
+    weights: tuple[float, float] | None = None
     prior: float = 0.0
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """Length-normalised difference of the two log-likelihoods, the same in units of its spread, strong evidence."""
-        found = tokens(text)
-        if not found:
-            return 0.0, 0.0, 0.0
-        get, (a, b), (p, q) = self.words.get, self.stems, STEMS
-        values = []
-        for w in found:
-            v = get(w)
-            if v is None:
-                v = a.get(w[:p])
-                if v is None:
-                    v = b.get(w[:q], 0.0)
-            values.append(v)
-        total = sum(values)
-        strong = sum({w: v for w, v in zip(found, values, strict=True) if v >= STRONG}.values())
-        return total / len(values), total / math.sqrt(len(values)), math.log1p(strong)
-
-    def score(self, text: str | None) -> float:
+    @classmethod
+    def of(cls, m: KneserNey) -> Model:
+        """Of the models of toxic and ordinary texts, in this order."""
+        words = {w: i + 1 for i, w in enumerate(m.words)}
+        at = {START: 0, **words}
+        n = len(words) + 1
+        left = np.array([[m.pairs[k].left.get(a, 1.0) * m.all_pairs.left.get(a, 1.0) for a in at] + [1.0] for k in (0, 1)])
+        singles = np.array([[1.0] + [m.single(k, w) for w in m.words] + [1.0] for k in (0, 1)])
+        every = list(m.all_pairs.share.keys() | m.pairs[0].share.keys() | m.pairs[1].share.keys())
+        keys = np.array([at[a] * n + at[b] for a, b in every], np.int64)
+        order = np.argsort(keys)
+        pairs = np.array([[m.pairs[k].share.get(p, 0.0) + m.pairs[k].left.get(p[0], 1.0) * m.all_pairs.share.get(p, 0.0) for p in every] for k in (0, 1)])
+        ratio = lambda f: math.log(f(0) / f(1))
+        runs = {h + x: ratio(lambda k, g=h + x: m.letter(k, g)) for level in m.all_runs for h, x in level.share}
+        runs_left = {h: ratio(lambda k, h=h, size=size: m.runs[k][size].left.get(h, 1.0)) for size, level in enumerate(m.all_runs) for h in level.left}
+        return cls(words, left, singles, keys[order], pairs[:, order], runs, runs_left, ratio(lambda k: m.singles[k].left.get("", 1.0)))
+
+    def spelt(self, word: str) -> float:
+        """The log-ratio of an unknown word's probabilities."""
+        w, total = START + word + STOP, self.rest
+        runs, left = self.runs, self.runs_left
+        for i in range(1, len(w)):
+            for size in range(min(SPELLED, i + 1), 0, -1):
+                g = w[i + 1 - size : i + 1]
+                v = runs.get(g)
+                if v is not None:
+                    total += v
+                    break
+                total += left.get(g[:-1], 0.0)
+        return total
+
+    def differences(self, texts: list[str | None], cache: dict[str, float]) -> np.ndarray:
+        """Of each text, the difference of its log-likelihoods, toxic less ordinary, a word; NaN without words."""
+        n = len(self.words) + 1
+        ids: list[int] = []
+        ends: list[int] = []
+        odd: list[float] = []
+        get = self.words.get
+        for t in texts:
+            found = tokens(t)
+            ids.append(0)
+            for w in found:
+                i = get(w)
+                if i is None:
+                    v = cache.get(w)
+                    if v is None:
+                        if len(cache) > 200_000:
+                            cache.clear()
+                        cache[w] = v = self.spelt(w)
+                    odd.append(v)
+                    i = n
+                ids.append(i)
+            ends.append(len(ids))
+        at = np.array(ids, np.int64)
+        a, b = at[:-1], at[1:]
+        key = np.where((a < n) & (b < n), a * n + b, -1)
+        place = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        seen = self.keys[place] == key if len(self.keys) else np.zeros(len(key), bool)
+        p = self.left[:, a] * self.singles[:, b]
+        p[:, seen] += self.pairs[:, place[seen]]
+        value = np.log(p[0]) - np.log(p[1])
+        value[b == n] += odd
+        value[b == 0] = 0  # a text's first place is no word
+        total = np.r_[0, 0, np.cumsum(value)]  # total[k]: of the places before k
+        cut = np.r_[0, ends]
+        words = np.diff(cut) - 1
+        return np.where(words > 0, (total[cut[1:]] - total[cut[:-1] + 1]) / np.maximum(words, 1), np.nan)
+
+    def scores(self, texts: list[str | None], cache: dict[str, float]) -> np.ndarray:
         if self.weights is None:
-            return self.prior
-        z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.features(text), strict=True))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n: tuple[Counter, Counter] = Counter(), Counter()
-        for text, toxic in zip(b.column(0), b.column(1), strict=True):
-            n[toxic.as_py()].update(set(tokens(text.as_py())))  # texts with it, not its repeats
-        every = list(n[0].keys() | n[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([n[1][w] for w in every], pa.int64()), pa.array([n[0][w] for w in every], pa.int64())], names=["word", "t", "o"])
-
-
-def _even(a: float, b: float) -> float:
-    """Of a shared count, the part of the class in which a word's stem has the share `a`."""
-    return 2 * a / (a + b)
-
-
-def _ratios(words: list, stems: list[list], totals) -> Model:
-    """Kneser-Ney by class.  A word's discounted share of its class's tokens is interpolated with the
-    share its stem has among the class's distinct words (a continuation count), discounted in turn and
-    interpolated with a shorter stem's, down to the share of both classes together.  How a stem's mass
-    goes to its words is shared by the classes, so rare words get the ratio of their stems."""
-    (n_t, n_o, v_t, v_o) = totals
-    d = DISCOUNT
-    share: list[dict[str, tuple[float, float, float]]] = [{} for _ in STEMS]
-    kinds = [(max(1, sum(r.kt for r in s)), max(1, sum(r.ko for r in s)), sum(r.kt > 0 for r in s), sum(r.ko > 0 for r in s)) for s in stems]
-    for level in range(len(STEMS) - 1, -1, -1):
-        k_t, k_o, s_t, s_o = kinds[level]
-        for r in stems[level]:
-            both = (r.kt + r.ko) / (k_t + k_o)
-            back = share[level + 1].get(r.stem[: STEMS[level + 1]]) if level + 1 < len(STEMS) else None
-            up_t, up_o = (both * back[0] / back[2], both * back[1] / back[2]) if back else (both, both)
-            share[level][r.stem] = ((max(r.kt - d, 0) + SHARED) / k_t + d * s_t / k_t * up_t, (max(r.ko - d, 0) + SHARED) / k_o + d * s_o / k_o * up_o, both)
-    model = Model(stems=[{s: math.log(t / o) for s, (t, o, _) in x.items()} for x in share])
-    of_stem = {r.stem: r.n for r in stems[0]}
-    for r in words:
-        stem = r.word[: STEMS[0]]
-        at = share[0].get(stem)
-        inside = (r.t + r.o) / max(of_stem.get(stem, 0), r.t + r.o)
-        s_t, s_o = (at[0] * inside, at[1] * inside) if at else (((r.t + r.o) / (n_t + n_o)),) * 2
-        p_t = max(r.t - d, 0) / n_t + (d * v_t / n_t + 1e-3) * s_t + SHARED / n_t * _even(s_t, s_o)
-        p_o = max(r.o - d, 0) / n_o + (d * v_o / n_o + 1e-3) * s_o + SHARED / n_o * _even(s_o, s_t)
-        model.words[r.word] = math.log(p_t / p_o)
-    return model
+            return np.full(len(texts), self.prior)
+        x = self.differences(texts, cache)
+        z = self.weights[0] + self.weights[1] * np.arcsinh(np.where(np.isnan(x), self.usual, x) / self.scale)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
 
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        """From differences and labels.  The difference goes in by asinh, so a few copies of texts fitted on don't set the weight."""
+        x, y = x[~np.isnan(x)], y[~np.isnan(x)]
+        self.usual = float(np.median(x[y == 0])) if (y == 0).any() else 0.0
+        self.scale = max(float(np.median(np.abs(x[y == 0] - self.usual))), 1e-6) if (y == 0).any() else 1.0
+        self.weights = calibrated(np.arcsinh(x / self.scale), y)
 
-def _logistic(x: np.ndarray, y: np.ndarray, shrink: float = 1e-2) -> tuple[float, ...]:
-    """Weights by Newton's method; both classes weigh as they occur."""
-    spread = np.maximum(np.abs(x).max(0), 1e-9)
+
+def calibrated(x: np.ndarray, y: np.ndarray, shrink: float = 1e-3) -> tuple[float, float]:
+    """The bias and weight of the difference by logistic regression; rows weigh as they occur, which gives the prior."""
+    spread = max(float(np.abs(x).max()), 1e-9)
     a = np.column_stack([np.ones(len(x)), x / spread])
-    w = np.zeros(a.shape[1])
-    for _ in range(50):
+    w = np.zeros(2)
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        penalty = shrink * np.r_[0, np.ones(len(w) - 1)]
+        penalty = shrink * np.array([0, 1])
         step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + np.diag(penalty + 1e-6), a.T @ (p - y) + penalty * w)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return tuple(w / np.r_[1.0, spread])
+    return float(w[0]), float(w[1] / spread)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS_PER_CLASS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_calibration: int = MAX_CALIBRATION) -> Model:
     """The model of labelled rows whose crc32(id as text) mod 5 is not 0.
 
-    Of either class about `max_rows` ids take part (a tenth more at most), chosen by a hash of the id, and for the counts as many of
-    the larger class as of the smaller; so what is fitted, sent to the driver and broadcast has a bound that does not depend on the input.
-    Rows of remainder 4 set the calibration, the others give the counts.  Rows with a null id, label
-    or text are no labelled rows; an id with several labels counts as toxic if one says so.  Without
-    rows of both classes the score is the share of toxic rows for every text.
+    Rows of remainders 1 to 3 give the counts: about `max_rows` ids of either class, chosen by a hash of the id.  Rows of remainder 4,
+    about `max_calibration` ids of both classes as they occur, give the calibration and so the prior.  Of either choice texts are taken in the hash's order up to
+    `MAX_CHARS` characters, without those over `LONGEST`; so what reaches the driver, and the model that is broadcast, have a bound
+    that does not depend on the input.  Equal texts of a class count once, and so does each line.
+
+    Rows with a null id, label or text are no labelled rows; an id with several labels counts as toxic if one says so.  Without
+    rows of both classes the score is the share of toxic rows for every text; without calibration rows of both, the rows of the counts
+    calibrate.  Empty tables are such a case.  Ties in the hash are in the order of ids.
     """
     c, d = Carried(labels), Carried(docs)
     part = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5))
-    known = c.df.select(c.col(id_col).alias("id"), c.col(label_col).alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max((F.col("y") != 0).cast("int")).alias("y")).withColumn("part", part).where("part != 0")
-    sizes = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    picked = {}
-    for y in (1, 0):
-        part_of = min(1.0, max_rows / max(1, sizes.get(y, 0)))
-        by_hash = F.shiftrightunsigned(F.xxhash64("id"), 33) < int(part_of * (1 << 31))
-        picked[y] = known.where((F.col("y") == y) & by_hash).select("id", "y", "part").limit(max_rows + max_rows // 10).collect()
-    if not picked[0] or not picked[1]:
-        n, t = len(picked[0]) + len(picked[1]), len(picked[1])
-        return Model(prior=t / (n + 1))
-    spark = docs.sparkSession
-    sample = F.broadcast(spark.createDataFrame([tuple(r) for r in picked[0] + picked[1]], "__id long, __y int, __part long"))
-    rows = d.df.select(d.col(id_col).alias("__id"), d.col(text_col).alias("__text")).where("__text is not null").join(sample, "__id")
-    half = sample.groupBy("__y").count().collect()
-    share = {r["__y"]: r["count"] for r in half}
-    balanced = rows.where("__part != 4")
-    if share[0] > share[1]:  # as many of either class, else unseen words speak for the smaller one
-        cut = sorted(picked[0], key=lambda r: r.id)[:: max(1, share[0] // share[1])]
-        keep = F.broadcast(spark.createDataFrame([(r.id,) for r in cut + picked[1]], "__id long"))
-        balanced = balanced.join(keep, "__id", "left_semi")
-    balanced = balanced.dropDuplicates(["__text", "__y"])  # copies are one witness
-    counted = balanced.select("__text", "__y").mapInArrow(_count_words, "word string, t long, o long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    counted = stored(counted)
-    total = counted.agg(F.sum("t"), F.sum("o"), F.sum((F.col("t") > 0).cast("int")), F.sum((F.col("o") > 0).cast("int"))).first()
-    if not total[0] or not total[1]:
-        return Model(prior=share[1] / (share[0] + share[1] + 1))
-    n = F.col("t") + F.col("o")
-    words = counted.where(n >= LEAST).orderBy(n.desc(), "word").limit(MAX_EXPRESSIONS).collect()
-    stems = []
-    for size in STEMS:
-        of = counted.groupBy(F.substring("word", 1, size).alias("stem")).agg(F.sum((F.col("t") > 0).cast("int")).alias("kt"), F.sum((F.col("o") > 0).cast("int")).alias("ko"), F.sum(n).alias("n"))
-        stems.append(of.orderBy(F.col("n").desc(), "stem").limit(MAX_EXPRESSIONS).collect())
-    model = _ratios(words, stems, total)
-    held = spark.sparkContext.broadcast(model)
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = [held.value.features(t.as_py()) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([b.column(1), *[pa.array([v[k] for v in x], pa.float64()) for k in range(3)]], names=["y", "a", "b", "c"])
-
-    seen = rows.where("__part = 4").select("__text", "__y").mapInArrow(features, "y int, a double, b double, c double").collect()
-    y = np.array([r.y for r in seen], float)
-    if len(seen) < 4 or y.min() == y.max():
-        model.weights = (-3.0, 0.0, 0.0, 3.0)  # too few rows to calibrate: one strong expression decides
-    else:
-        model.weights = _logistic(np.array([[r.a, r.b, r.c] for r in seen]), y)
+    known = c.df.select(c.col(id_col).alias("id"), c.col(label_col).alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max((F.col("y") != 0).cast("int")).alias("y"))
+    known = known.withColumn("kind", F.when(part == 4, 2).otherwise(F.col("y"))).where(part != 0)
+    sizes = {r.kind: r["count"] for r in known.groupBy("kind").count().collect()}
+    place = F.shiftrightunsigned(F.xxhash64("id"), 33)
+    chosen = F.lit(False)
+    for kind, most in ((0, max_rows), (1, max_rows), (2, max_calibration)):
+        chosen = chosen | ((F.col("kind") == kind) & (place < int(min(1.0, most / max(1, sizes.get(kind, 0))) * (1 << 31))))
+    sample = known.where(chosen).select(F.col("id").alias("__id"), F.col("y").alias("__y"), F.col("kind").alias("__kind"), place.alias("__place"))
+    rows = d.df.select(d.col(id_col).alias("__id"), d.col(text_col).alias("__text")).join(F.broadcast(sample), "__id").where(F.length("__text") <= LONGEST)
+    order = Window.partitionBy("__kind").orderBy("__place", "__id", "__text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__sum", F.sum(F.length("__text").cast("long")).over(order)).where(F.col("__sum") <= MAX_CHARS)
+    told = rows.select("__kind", "__y", "__text").collect()  # the bounded sample
+    lines: list[list[list[str]]] = [[], []]
+    for r in sorted({(r[0], r[2]) for r in told if r[0] < 2}):
+        lines[1 - r[0]] += [tokens(x) for x in r[1].split("\n")]
+    if not any(map(len, lines[0])) or not any(map(len, lines[1])):
+        return Model(prior=sum(r[1] for r in told) / (len(told) + 1))
+    model = Model.of(KneserNey(lines))
+    seen = [r for r in told if r[0] == 2]
+    if len({r[1] for r in seen}) < 2:
+        seen = told
+    model.calibrate(model.differences([r[2] for r in seen], {}), np.array([r[1] for r in seen], float))
     return model
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """`docs` with `score` (0 to 1; higher: likelier toxic) and `predicted` (1 from 0.5 on).
 
-    The score comes from the text alone: the difference of its length-normalised log-likelihoods under the two
-    models, and the strong evidence in it, calibrated.  Works row by row.  Null, empty and wordless texts get
-    the calibration's value for no evidence.  Repeated rows get equal scores.  `score` and
-    `predicted` replace input columns of those names.
+    The score comes from the text alone, by the length-normalised difference of its log-likelihoods under the two
+    models, calibrated.  Works row by row, on whole texts, one at a time.  Null, empty and wordless texts have the difference
+    of an ordinary text.  Repeated rows get equal scores; an empty table gives an empty one.  `score` and
+    `predicted` replace input columns of those names; other columns, whatever their names, are kept.
     """
     c = Carried(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")  # takes the text alone to Python and brings back a number; the other columns stay where they are
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array([held.value.score(t.as_py()) for t in texts], pa.float64())
+        cache: dict[str, float] = {}
+        out: list[float] = []
+        for at in range(0, len(texts), 256):
+            out += held.value.scores(texts[at : at + 256].to_pylist(), cache).tolist()
+        return pa.array(out, pa.float64())
 
     out = c.df.withColumn("__score", score(c.col(text_col)))
     return c.restore(out, score="__score", predicted=(F.col("__score") >= 0.5).cast("int"))
