@@ -227,16 +227,19 @@ class Model:
         if self.weights is None:
             return np.full(len(texts), self.prior)
         x = self.differences(texts, cache)
-        z = self.weights[0] + self.weights[1] * np.arcsinh(np.where(np.isnan(x), self.usual, x) / self.scale)
+        z = self.weights[0] + self.weights[1] * np.arcsinh((np.where(np.isnan(x), self.usual, x) - self.usual) / self.scale)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """From differences and labels.  The difference goes in by asinh, so a few copies of texts fitted on don't set the weight."""
+        """From differences and labels.  The difference goes in by asinh, so a few copies of texts fitted on don't set the weight; its scale
+        is the spread of ordinary texts, or a tenth of the way to a usual toxic one if that is more."""
         x, y = x[~np.isnan(x)], y[~np.isnan(x)]
         self.usual = float(np.median(x[y == 0])) if (y == 0).any() else 0.0
-        self.scale = max(float(np.median(np.abs(x[y == 0] - self.usual))), 1e-6) if (y == 0).any() else 1.0
-        self.weights = calibrated(np.arcsinh(x / self.scale), y)
+        spread = np.abs(x[y == 0] - self.usual).mean() if (y == 0).any() else 1.0
+        way = np.median(x[y == 1]) - self.usual if (y == 1).any() else 0.0
+        self.scale = max(float(spread), float(way) / 10, 1e-6)
+        self.weights = calibrated(np.arcsinh((x - self.usual) / self.scale), y)
 
 
 def calibrated(x: np.ndarray, y: np.ndarray, shrink: float = 1e-3) -> tuple[float, float]:
