@@ -34,7 +34,7 @@ from .common import Carried, documents
 
 #: Labelled rows of each class that a model is fitted on, rows that it is calibrated on, the characters of either, and of the
 #: longest text that is fitted on: the bound of what reaches the driver.
-MAX_ROWS, MAX_CALIBRATION, MAX_CHARS, LONGEST = 1_000, 3_000, 8_000_000, 200_000
+MAX_ROWS, MAX_CALIBRATION, MAX_CHARS, LONGEST = 1_000, 2_000, 4_000_000, 100_000
 #: Characters of the longest run of a spelling.
 SPELLED = 5
 #: What is taken off a class's count for each of the other class's.
@@ -48,70 +48,83 @@ def tokens(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-class Discounted:
-    """Counts of (h, x) less what is taken of each: `share` (h, x) -> (n - taken) / n(h), `left` h -> what is taken of all."""
+def split(counts: np.ndarray, context: np.ndarray, contexts: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the two classes' counts of (h, x), one column each, h a number: what (h, x) has, own and shared share together, and what
+    h leaves to the next shorter context, both for each class."""
+    sums = np.maximum(1, counts.sum(1))
+    scale = sums / sums[::-1]
+    taken = np.minimum(counts, least * np.maximum(1, scale)[:, None] + EXPLAINED * scale[:, None] * counts[::-1])
+    shared = taken.sum(0)
 
-    def __init__(self, counts: dict[tuple[str, str], float], taken: dict[tuple[str, str], float]):
-        total: Counter = Counter()
-        gone: Counter = Counter()
-        for k, v in counts.items():
-            total[k[0]] += v
-            gone[k[0]] += taken[k]
-        self.share = {k: (v - taken[k]) / total[k[0]] for k, v in counts.items() if v > taken[k]}
-        self.left = {h: gone[h] / v for h, v in total.items()}
+    def parts(n: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total = np.bincount(context, n, contexts)
+        left = np.where(total > 0, np.bincount(context, off, contexts) / np.maximum(total, 1e-300), 1.0)
+        return (n - off) / np.maximum(total, 1e-300)[context], left
 
-    def of(self, h: str, x: str) -> tuple[float, float]:
-        return self.share.get((h, x), 0.0), self.left.get(h, 1.0)
-
-
-def split(counts: list[Counter], least: float) -> tuple[list[Discounted], Discounted]:
-    """The counts that each of two classes keeps, and the shared ones: what is taken of both."""
-    sums = [max(1, sum(n.values())) for n in counts]
-    taken = []
-    for own, other, scale in ((counts[0], counts[1], sums[0] / sums[1]), (counts[1], counts[0], sums[1] / sums[0])):
-        taken.append({k: min(n, least * max(1, scale) + EXPLAINED * scale * other[k]) for k, n in own.items()})
-    shared: Counter = Counter()
-    for t in taken:
-        for k, v in t.items():
-            shared[k] += v
-    return [Discounted(n, t) for n, t in zip(counts, taken, strict=True)], Discounted(shared, {k: min(v, least) for k, v in shared.items()})
+    own = [parts(n, off) for n, off in zip(counts, taken, strict=True)]
+    share, rest = parts(shared, np.minimum(shared, least))
+    return np.array([a + left[context] * share for a, left in own]), np.array([left * rest for _, left in own])
 
 
 def runs_of(words: Iterable[str]) -> list[Counter]:
-    """By size, (run without its last character, last character) -> count; of sizes below `SPELLED` distinct characters before."""
+    """The runs of each size and their counts; of sizes below `SPELLED`, the distinct characters before them."""
     levels: list[Counter] = [Counter() for _ in range(SPELLED + 1)]
     for w in words:
         w = START + w + STOP
         for i in range(1, len(w)):
-            at = max(0, i - SPELLED + 1)
-            levels[i + 1 - at][w[at:i], w[i]] += 1  # shorter than SPELLED: it begins the word
+            run = w[max(0, i - SPELLED + 1) : i + 1]
+            levels[len(run)][run] += 1  # shorter than SPELLED: it begins the word
     for size in range(SPELLED, 1, -1):
-        for h, x in levels[size]:
-            levels[size - 1][h[1:], x] += 1
+        for run in levels[size]:
+            levels[size - 1][run[1:]] += 1
     return levels
 
 
 class KneserNey:
-    """The models of two classes of `texts` (lines, as lists of words), each with the counts of its own and the shared ones."""
+    """The models of two classes of `texts` (lines, as lists of words), each with the counts of its own and the shared ones.
+
+    `pairs` has, by class, what the pairs `keys` (first * n + second, words by number, 0 the start) have; `left` what a first word
+    leaves over.  `singles` and `rest`, `runs` and `runs_left` are the same of single words and spellings.  What has nothing is not kept."""
 
     def __init__(self, texts: list[list[list[str]]]):
         self.least = math.log2(1 + sum(map(len, texts)) / 2) / 2
-        pairs = []
-        for of in texts:
-            found: set[tuple[str, str, str]] = set()
-            for words in {tuple(w) for w in of}:
-                found.update(zip([START, START, *words], [START, *words], words))  # noqa: B905
-            pairs.append(Counter((a, b) for _, a, b in found))
-        singles = [Counter(("", b) for _, b in n) for n in pairs]
-        runs = [runs_of(b for _, b in n) for n in singles]
-        self.words = sorted({b for n in singles for _, b in n})
-        self.letters = 1 + len({x for r in runs for level in r for _, x in level})  # and all others as one
-        self.pairs, self.all_pairs = split(pairs, self.least)
-        self.singles, self.all_singles = split(singles, self.least)
-        levels = [split([r[size] for r in runs], self.least) for size in range(SPELLED + 1)]
-        self.runs = [[own[k] for own, _ in levels] for k in range(2)]
-        self.all_runs = [shared for _, shared in levels]
-        self._known: list[dict[str, float]] = [{} for _ in texts]
+        self.words = sorted({w for of in texts for words in of for w in words})
+        self.at = {w: i + 1 for i, w in enumerate(self.words)} | {START: 0}
+        n = self.n = len(self.at)
+        found = [self._pairs(of) for of in texts]
+        keys = np.union1d(found[0][0], found[1][0])
+        counts = np.zeros((2, len(keys)))
+        for k, (own, times) in enumerate(found):
+            counts[k, np.searchsorted(keys, own)] = times
+        singles = np.array([np.bincount(own % n, minlength=n) for own, _ in found], float)
+        del found
+        pairs, self.left = split(counts, keys // n, n, self.least)
+        kept = (pairs > 0).any(0)
+        self.keys, self.pairs = keys[kept], pairs[:, kept]
+        self.singles, rest = split(singles, np.zeros(n, np.int64), 1, self.least)
+        self.rest = rest[:, 0]
+        levels = [runs_of(w for w, c in zip(self.words, singles[k, 1:], strict=True) if c) for k in (0, 1)]
+        self.letters = 1 + len(levels[0][1].keys() | levels[1][1].keys())  # and all others as one
+        self.runs: dict[str, np.ndarray] = {}
+        self.runs_left: dict[str, np.ndarray] = {}
+        for size in range(1, SPELLED + 1):
+            runs = list(levels[0][size].keys() | levels[1][size].keys())
+            before: dict[str, int] = {}
+            context = np.array([before.setdefault(g[:-1], len(before)) for g in runs], np.int64)
+            value, left = split(np.array([[level[size][g] for g in runs] for level in levels], float).reshape(2, -1), context, len(before), self.least)
+            self.runs.update((runs[i], value[:, i]) for i in np.flatnonzero((value > 0).any(0)))
+            self.runs_left.update((h, left[:, i]) for h, i in before.items())
+        self._known: list[dict[str, float]] = [{}, {}]
+
+    def _pairs(self, lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs in distinct lines, and how many distinct words come before each."""
+        ids: list[int] = []
+        for words in {tuple(w) for w in lines}:
+            ids += (0, 0)
+            ids += map(self.at.__getitem__, words)
+        x = np.array(ids, np.int64)
+        triples = np.unique((x[:-2] * self.n + x[1:-1]) * self.n + x[2:]) if len(x) > 2 else np.zeros(0, np.int64)
+        return np.unique(triples[triples % self.n > 0] % (self.n * self.n), return_counts=True)
 
     def letter(self, k: int, run: str) -> float:
         """Of the last character of `run` behind the others, in class `k`."""
@@ -119,9 +132,8 @@ class KneserNey:
             return 1 / self.letters
         known = self._known[k].get(run)
         if known is None:
-            size, h, x = len(run), run[:-1], run[-1]
-            (a, left), (s, rest) = self.runs[k][size].of(h, x), self.all_runs[size].of(h, x)
-            known = a + left * (s + rest * self.letter(k, run[1:]))
+            value, left = self.runs.get(run), self.runs_left.get(run[:-1])
+            known = (0.0 if value is None else value[k]) + (1.0 if left is None else left[k]) * self.letter(k, run[1:])
             self._known[k][run] = known
         return known
 
@@ -130,12 +142,13 @@ class KneserNey:
         return math.prod(self.letter(k, w[max(0, i - SPELLED + 1) : i + 1]) for i in range(1, len(w)))
 
     def single(self, k: int, word: str) -> float:
-        (a, left), (s, rest) = self.singles[k].of("", word), self.all_singles.of("", word)
-        return a + left * (s + rest * self.spelling(k, word))
+        return self.singles[k, self.at[word] if word in self.at else 0] + self.rest[k] * self.spelling(k, word)
 
     def probability(self, k: int, word: str, before: str) -> float:
-        (a, left), (s, rest) = self.pairs[k].of(before, word), self.all_pairs.of(before, word)
-        return a + left * (s + rest * self.single(k, word))
+        a, b = self.at.get(before), self.at.get(word)
+        place = np.searchsorted(self.keys, a * self.n + b) if a is not None and b is not None else len(self.keys)
+        has = place < len(self.keys) and self.keys[place] == a * self.n + b
+        return (self.pairs[k, place] if has else 0.0) + (self.left[k, a] if a is not None else 1.0) * self.single(k, word)
 
 
 @dataclass
@@ -158,19 +171,12 @@ class Model:
     @classmethod
     def of(cls, m: KneserNey) -> Model:
         """Of the models of toxic and ordinary texts, in this order."""
-        words = {w: i + 1 for i, w in enumerate(m.words)}
-        at = {START: 0, **words}
-        n = len(words) + 1
-        left = np.array([[m.pairs[k].left.get(a, 1.0) * m.all_pairs.left.get(a, 1.0) for a in at] + [1.0] for k in (0, 1)])
+        one = np.ones((2, 1))
         singles = np.array([[1.0] + [m.single(k, w) for w in m.words] + [1.0] for k in (0, 1)])
-        every = list(m.all_pairs.share.keys() | m.pairs[0].share.keys() | m.pairs[1].share.keys())
-        keys = np.array([at[a] * n + at[b] for a, b in every], np.int64)
-        order = np.argsort(keys)
-        pairs = np.array([[m.pairs[k].share.get(p, 0.0) + m.pairs[k].left.get(p[0], 1.0) * m.all_pairs.share.get(p, 0.0) for p in every] for k in (0, 1)])
         ratio = lambda f: math.log(f(0) / f(1))
-        runs = {h + x: ratio(lambda k, g=h + x: m.letter(k, g)) for level in m.all_runs for h, x in level.share}
-        runs_left = {h: ratio(lambda k, h=h, size=size: m.runs[k][size].left.get(h, 1.0)) for size, level in enumerate(m.all_runs) for h in level.left}
-        return cls(words, left, singles, keys[order], pairs[:, order], runs, runs_left, ratio(lambda k: m.singles[k].left.get("", 1.0)))
+        runs = {g: ratio(lambda k, g=g: m.letter(k, g)) for g in m.runs}
+        runs_left = {h: math.log(v[0] / v[1]) for h, v in m.runs_left.items() if v[0] != v[1]}
+        return cls({w: i for w, i in m.at.items() if i}, np.hstack([m.left, one]), singles, m.keys, m.pairs, runs, runs_left, math.log(m.rest[0] / m.rest[1]))
 
     def spelt(self, word: str) -> float:
         """The log-ratio of an unknown word's probabilities."""

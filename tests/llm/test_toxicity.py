@@ -129,14 +129,13 @@ def test_models_sum_to_one(corpus):
     rows, labels = corpus
     toxic = dict(labels)
     model = KneserNey([[tokens(t) for i, t in rows[:120] if toxic[i] == y] for y in (1, 0)])
-    letters = {x for r in model.all_runs for h in (r.share, *(own.share for own in (model.runs[0][1], model.runs[1][1]))) for _, x in h}
+    every = {c for w in model.words for c in w} | {STOP}
     for k in (0, 1):
         for h in ("", START, "a", START + "g", "gru", "rumb"):
-            every = {x for level in model.all_runs for _, x in level.share} | letters
             assert sum(model.letter(k, h + x) for x in every) + (model.letters - len(every)) * model.letter(k, h + "?") == pytest.approx(1)
         for a in (START, "nastyhead", model.words[0], "unseen"):
             unknown = 1 - sum(model.spelling(k, w) for w in model.words)
-            left = model.pairs[k].left.get(a, 1.0) * model.all_pairs.left.get(a, 1.0) * model.singles[k].left[""] * model.all_singles.left[""]
+            left = (model.left[k, model.at[a]] if a in model.at else 1.0) * model.rest[k]
             assert sum(model.probability(k, w, a) for w in model.words) + left * unknown == pytest.approx(1)
 
 
