@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return let(a, lambda x: let(b, lambda y: let(shared(x, y), lambda n: n / (F.size(x) + F.size(y) - n))))
 
 
-def _starts(places: Column, size: Column, n: Column, shingle: int, similarity: float) -> Column:
+def _starts(places: Column, size: Column, n: Column, shingle: Column, similarity: float) -> Column:
     """All starts of windows of `n` of a text's `size` words that can reach the similarity, given the sorted `places` of
     the text's shingles that are the item's.
 
@@ -59,7 +61,7 @@ def _starts(places: Column, size: Column, n: Column, shingle: int, similarity: f
     the list, lie in the window.  A text of no more than `n` words is one window.
     """
     def body(at: Column) -> Column:
-        m = n - F.lit(shingle - 1)
+        m = n - shingle + 1
         least = F.greatest(F.lit(1), F.ceil(m * F.lit(2 * similarity / (1 + similarity)) - F.lit(1e-6)).cast("int"))
         low = lambda i: F.greatest(F.lit(0), F.get(at, i + least - 1) - m + 1)
         high = lambda i: F.least(F.get(at, i), size - n)
@@ -76,57 +78,75 @@ def find_passages(
 ) -> DataFrame:
     """(`id_col`, `item_col`, `start`, `n_words`, `distance`, `similarity`): the best window of each document for each item found in it.
 
-    A window has as many words as the item (a shorter document is one window); A-Z are lower-cased.
-    Every window is looked at that has enough shingles of the item to reach the similarity (see `_starts`).  Window and item meet on the item and on any of
-    `radius` + 1 blocks of their SimHash, which no pair within the radius misses; then the exact
-    similarity decides: shingles weighted by their counts, 0.8 or more.  Of several windows the most similar,
-    then the first is given.
-
-    Items of fewer than `shingle` words have no shingle and are never found.  Null texts have no
-    words; rows with a null id or item are left out; repeated rows give one row.  Only the columns named are read.
-    Texts are read to find where windows lie, and once more to cut these out; they are
-    shuffled at most once.
+    A window has as many words as an item (a shorter document is one window); A-Z are lower-cased.
+    1. Windows.  Every window is taken that has enough shingles of an item of its size to reach the similarity (see `_starts`); no other can
+       be a result.  The shingles of the items find these places.
+    2. Candidates.  A window is fingerprinted, whatever items led to it, and meets the items of its size on any of `radius` + 1 blocks of their
+       SimHash, which no pair within the radius misses; pairs beyond the radius go.
+    3. The exact similarity decides: shingles weighted by their counts, 0.8 or more.  Of several windows the most similar,
+       then the first is given.
+
+    Items of fewer than `shingle` words are one shingle of all their words; those without words are never found.  Null and empty texts have no
+    words; rows with a null id or item are left out; repeated rows give one row.  Empty tables give an empty one.  Only the columns named are
+    read, whatever else there is.  Long texts are worked on whole; a window's cost does not depend on its text.
+    Texts are read to find where windows lie, and those with windows once more to cut these out.
     """
     c, d = Carried(docs), Carried(items)
     benchmark = d.df.select(d.col(item_col).alias("item"), hashed_words(d.col(item_text_col)).alias("iw")).where("item is not null").distinct()
-    benchmark = stored(benchmark.withColumn("ish", shingles(F.col("iw"), shingle)).where(F.size("ish") > 0))
+    sizes = F.least(F.size("iw"), F.lit(shingle))
+    benchmark = stored(benchmark.where(F.size("iw") > 0).select("item", F.size("iw").alias("n"), sizes.alias("g"), _by_size(F.col("iw"), F.size("iw"), shingle).alias("ish")))
     total = benchmark.agg(F.coalesce(F.sum(F.size("ish").cast("long")), F.lit(0))).first()[0]
     small = (lambda x: F.broadcast(x)) if total <= BROADCAST_SHINGLES else (lambda x: x)
-    anchors = small(benchmark.select("item", F.size("iw").alias("n"), F.explode(F.array_distinct("ish")).alias("h")))
+    anchors = small(benchmark.select("item", "n", "g", F.explode(F.array_distinct("ish")).alias("h")))
 
     rows = c.df.select(c.col(id_col).alias("id"), F.coalesce(c.col(text_col), F.lit("")).alias("t")).where("id is not null")
     hashed = rows.select("id", F.xxhash64("t").alias("of"), hashed_words(F.col("t")).alias("w"))
-    places = hashed.select("id", "of", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"), shingle)).alias("p", "h"))
-    where = stored(places.join(anchors, "h").select("id", "of", "item", "size", "n", "p").distinct())
+    used = sorted({r.g for r in benchmark.select("g").distinct().collect()} | {shingle})  # at most `shingle` numbers
+    places = reduce(DataFrame.union, [hashed.select("id", "of", F.size("w").alias("size"), F.lit(g).alias("g"), F.posexplode(shingles(F.col("w"), g)).alias("p", "h")) for g in used])
+    where = stored(places.join(anchors, ["g", "h"]).select("id", "of", "item", "size", "n", "g", "p").distinct())
 
-    per = where.groupBy("id", "of", "item", "size", "n").agg(F.sort_array(F.collect_set("p")).alias("at"))
-    per = per.select("id", "of", "item", _starts(F.col("at"), F.col("size"), F.col("n"), shingle, similarity).alias("starts")).where(F.size("starts") > 0)
+    per = where.groupBy("id", "of", "item", "size", "n", "g").agg(F.sort_array(F.collect_set("p")).alias("at"))
+    per = per.select("id", "of", "n", F.explode(_starts(F.col("at"), F.col("size"), F.col("n"), F.col("g"), similarity)).alias("start")).distinct()
+    per = per.groupBy("id", "of").agg(F.collect_list(F.struct("n", "start")).alias("found"))
     whole = rows.select(F.col("id").alias("i"), F.xxhash64("t").alias("o"), "t")
-    per = per.groupBy("id", "of").agg(F.collect_list(F.struct("item", "starts")).alias("found"))
     cut = per.join(whole, (F.col("id") == F.col("i")) & (F.col("of") == F.col("o")))
-    cut = cut.select("id", hashed_words(F.col("t")).alias("w"), "found").select("id", "w", F.explode("found").alias("f")).select("id", "w", "f.item", "f.starts")
-    cut = cut.join(small(benchmark), "item").select("id", "item", "iw", "ish", F.explode("starts").alias("start"), "w")
-    cut = cut.select("id", "item", "start", "ish", F.slice("w", F.col("start") + 1, F.size("iw")).alias("w"))
-    cut = cut.select("id", "item", "start", F.size("w").alias("n_words"), shingles(F.col("w"), shingle).alias("wsh")).where(F.size("wsh") > 0)
-    windows = cut.withColumn("fp", simhash(F.col("wsh")))
+    cut = cut.select("id", hashed_words(F.col("t")).alias("w"), "found").select("id", "w", F.explode("found").alias("f")).select("id", "w", "f.n", "f.start")
+    cut = cut.select("id", "n", "start", F.slice("w", F.col("start") + 1, F.col("n")).alias("w"))
+    windows = cut.select("id", "n", "start", F.size("w").alias("n_words"), _by_size(F.col("w"), F.col("n"), shingle).alias("wsh")).where(F.size("wsh") > 0)
+    windows = stored(windows.withColumn("fp", simhash(F.col("wsh"))).distinct())
+
+    pairs = candidates(windows.select("id", "n", "start", "fp"), benchmark.select("item", "n", simhash(F.col("ish")).alias("ifp")), radius, small)
+    near = windows.join(pairs, ["id", "n", "start", "fp"]).join(small(benchmark.select("item", "ish")), "item")
+    near = near.withColumn("similarity", weighted_similarity(F.col("wsh"), F.col("ish"))).where(F.col("similarity") >= similarity)
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words", (-F.col("distance")).alias("d"))).alias("b")
+    out = near.groupBy("id", "item").agg(best)
+    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("b.s")).alias("start"), "b.n_words", (-F.col("b.d")).alias("distance"), "b.similarity")
+
+
+def _by_size(w: Column, n: Column, shingle: int) -> Column:
+    """The shingles of hashed words `w` as those of an item of `n` words: of `shingle` words, or of as many as a shorter item has."""
+    out = shingles(w, shingle)
+    for g in range(1, shingle):
+        out = F.when(n == g, shingles(w, g)).otherwise(out)
+    return out
+
+
+def candidates(windows: DataFrame, items: DataFrame, radius: int = RADIUS, small=lambda x: x) -> DataFrame:
+    """(`id`, `n`, `start`, `fp`, `item`, `distance`): windows (`fp`) and items (`ifp`) of one size `n` within the radius, by a multi-index.
+
+    Both are entered under each of `radius` + 1 blocks of their fingerprints; two words that differ in no more bits than the radius agree in a
+    block.  A pair that agrees in several counts at the first.  Only fingerprints travel, not shingles.
+    """
     blocks = _blocks(radius)
 
     def indexed(df: DataFrame, fp: str) -> DataFrame:
         keys = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.col(fp), a).bitwiseAND(F.lit(m)).alias("v")) for k, (a, m) in enumerate(blocks)]
         return df.withColumn("b", F.explode(F.array(*keys))).select("*", "b.k", "b.v").drop("b")
 
-    index = indexed(benchmark.select("item", "ish", simhash(F.col("ish")).alias("ifp")), "ifp")
-    met = indexed(windows, "fp").join(small(index), ["item", "k", "v"])
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp")))
-    first = lambda k: ((F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("ifp")), blocks[k][0]).bitwiseAND(F.lit(blocks[k][1])) == 0) & (F.col("k") > k))
-    repeat = first(0)
-    for k in range(1, len(blocks) - 1):
-        repeat = repeat | first(k)
-    near = met.withColumn("distance", distance).where((F.col("distance") <= radius) & ~repeat)  # a pair that shares several blocks counts at the first
-    near = near.withColumn("similarity", weighted_similarity(F.col("wsh"), F.col("ish"))).where(F.col("similarity") >= similarity)
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words", (-F.col("distance")).alias("d"))).alias("b")
-    out = near.groupBy("id", "item").agg(best)
-    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("b.s")).alias("start"), "b.n_words", (-F.col("b.d")).alias("distance"), "b.similarity")
+    differ = F.col("fp").bitwiseXOR(F.col("ifp"))
+    first = F.array_position(F.array(*[F.shiftrightunsigned(differ, a).bitwiseAND(F.lit(m)) == 0 for a, m in blocks]), True) - 1
+    met = indexed(windows, "fp").join(small(indexed(items, "ifp")), ["n", "k", "v"]).withColumn("distance", F.bit_count(differ))
+    return met.where((F.col("distance") <= radius) & (F.col("k") == first)).select("id", "n", "start", "fp", "item", "distance")
 
 
 def without_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
