@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from itertools import accumulate
 from typing import Any
 
 #: Bytes that a retry may add to a prompt, of these the error's own.
@@ -71,28 +73,46 @@ class Caller:
 
     def call(self, task: str, data: dict, valid: Callable[[Any], Any], output: int | None = None, prose: bool = False) -> Any:
         """The first valid reply.  After a truncated one the output limit doubles, up to the budget's, and a word target in the data halves."""
-        limit = self.budget.output if output is None else output
-        if not 1 <= limit <= self.budget.output:
+        turn = Turn(data, self.budget.output if output is None else output)
+        if not 1 <= turn.limit <= self.budget.output:
             raise ValueError("an output limit above the budget's")
         if not self.fits(task, data):
             raise ValueError("the prompt exceeds the budget")
-        error, reply = None, Reply("")
+        phase = task.splitlines()[0]
         for attempt in range(1, self.budget.retries + 2):
-            reply = self.model(self.prompt(task, data, error), limit)
-            event = {"phase": task.splitlines()[0], "call_number": len(self.events) + 1, "attempt": attempt, "response_text": reply.text, "error": None, "truncated": reply.truncated}
-            self.events.append(event)
-            try:
-                if reply.error and not reply.truncated:
-                    raise ValueError(reply.error)
-                return valid(decoded(reply.text, prose and not reply.truncated))
-            except (ValueError, TypeError, KeyError) as e:
-                error = event["error"] = str(e) or type(e).__name__
-            if reply.truncated:
-                limit = min(self.budget.output, 2 * limit)
-                if "max_words" in data:
-                    data = data | {"max_words": max(8, data["max_words"] // 2)}
-                error = f"the answer was cut off; write less. {error}"
-        raise (Truncated if reply.truncated else Invalid)(f"{task.splitlines()[0]}: {error}")
+            reply = self.model(self.prompt(task, turn.data, turn.error), turn.limit)
+            result, problem = _outcome(reply, valid, prose)
+            self.events.append({"phase": phase, "call_number": len(self.events) + 1, "attempt": attempt, "response_text": reply.text, "error": problem, "truncated": reply.truncated})
+            if problem is None:
+                return result
+            turn = turn.after(reply, problem, self.budget.output)
+        raise (Truncated if reply.truncated else Invalid)(f"{phase}: {turn.error}")
+
+
+@dataclass(frozen=True)
+class Turn:
+    """What is asked next: the data, the output limit, and what was wrong with the last answer."""
+
+    data: dict
+    limit: int
+    error: str | None = None
+
+    def after(self, reply: Reply, problem: str, most: int) -> Turn:
+        if not reply.truncated:
+            return replace(self, error=problem)
+        words = self.data.get("max_words")
+        shorter = self.data if words is None else {**self.data, "max_words": max(8, words // 2)}
+        return Turn(shorter, min(most, 2 * self.limit), f"the answer was cut off; write less. {problem}")
+
+
+def _outcome(reply: Reply, valid: Callable[[Any], Any], prose: bool) -> tuple[Any, str | None]:
+    """What a reply holds, or what is wrong with it.  A truncated one may be valid all the same, though not as prose."""
+    if reply.error and not reply.truncated:
+        return None, reply.error
+    try:
+        return valid(decoded(reply.text, prose and not reply.truncated)), None
+    except (ValueError, TypeError, KeyError) as e:
+        return None, str(e) or type(e).__name__
 
 
 def decoded(text: str, prose: bool = False) -> Any:
@@ -121,28 +141,39 @@ def required_text(value: Any, name: str, limit: int | None = None) -> str:
     return value
 
 
-def paragraphs(reply: Any, depth: int = 0) -> list[str]:
+#: How deep a reply may be nested.
+DEEPEST = 6
+
+
+def paragraphs(reply: Any) -> list[str]:
     """The paragraphs of a reply: a text, a list, or an object with one of the usual members, nested at most six deep."""
-    if depth > 6:
-        raise ValueError("nested too deeply")
-    if isinstance(reply, str):
-        return [p.strip() for p in re.split(r"\n\s*\n", required_text(reply, "paragraphs")) if p.strip()]
-    if isinstance(reply, list) and reply:
-        return [p for x in reply for p in paragraphs(x, depth + 1)]
-    if isinstance(reply, dict):
-        for k in TEXT_KEYS:
-            if reply.get(k) is not None:
-                return paragraphs(reply[k], depth + 1)
-        raise ValueError(f"none of {', '.join(TEXT_KEYS)} among {', '.join(map(str, list(reply)[:10]))}")
-    raise ValueError("no paragraphs")
+    out: list[str] = []
+    todo: list[tuple[Any, int]] = [(reply, 0)]
+    while todo:
+        value, depth = todo.pop()
+        if depth > DEEPEST:
+            raise ValueError("nested too deeply")
+        match value:
+            case str() if value.strip():
+                out += filter(None, map(str.strip, re.split(r"\n\s*\n", value)))
+            case [_, *_]:
+                todo += ((x, depth + 1) for x in reversed(value))
+            case dict() if member := next((m for m in map(value.get, TEXT_KEYS) if m is not None), None):
+                todo.append((member, depth + 1))
+            case dict():
+                raise ValueError(f"none of {', '.join(TEXT_KEYS)} with a text among {', '.join(map(str, list(value)[:10]))}")
+            case _:
+                raise ValueError("no paragraphs")
+    return out
 
 
 def short_title(text: str, limit: int = 100) -> str:
-    t = " ".join(required_text(text, "title").split())
-    if len(t) <= limit:
-        return t
-    head = t[: limit - 1]
-    return (head[: head.rfind(" ")] if head.rfind(" ") > 0 else head).rstrip() + "…"
+    """A text on one line, cut behind a word if it is too long."""
+    line = " ".join(required_text(text, "title").split())
+    if len(line) <= limit:
+        return line
+    whole = re.match(rf".{{1,{limit - 2}}}(?= )", line)
+    return (whole[0] if whole else line[: limit - 1]) + "…"
 
 
 def themes(reply: Any, most: int) -> list[dict]:
@@ -164,71 +195,50 @@ def json_bytes(text: str) -> int:
     return len(json.dumps(text, ensure_ascii=False).encode())
 
 
-def _spread(n: int) -> list[int]:
-    """0 .. n-1 so that each prefix is spread over the range: both ends, then middles of ever smaller gaps."""
-    order = [*dict.fromkeys([0, n - 1])] if n else []
-    gaps = [(1, n - 2)]
-    while gaps:
-        gaps, old = [], gaps
-        for a, b in old:
-            if a <= b:
-                m = (a + b) // 2
-                order.append(m)
-                gaps += [(a, m - 1), (m + 1, b)]
-    return order
+def _sizes(text: str) -> list[int]:
+    """Bytes of JSON of each prefix of a text, without the quotes."""
+    return list(accumulate((json_bytes(c) - 2 for c in text), initial=0))
 
 
 def bounded(text: str, size: int) -> str:
-    """At most `size` bytes of JSON: sentences from all over the text, else groups of eight words, else its head."""
+    """At most `size` bytes of JSON: as many sentences as fit, evenly spread with both ends, else groups of eight words, else the head."""
     if json_bytes(text) <= size:
         return text
-    split = text.split()
-    for units in ([s.strip() for s in re.split(r"(?<=[.!?])\s+|\n+", text) if s.strip()], [" ".join(split[i : i + 8]) for i in range(0, len(split), 8)]):
-        chosen: list[int] = []
-        for i in _spread(len(units)):
-            if json_bytes(_joined(units, sorted([*chosen, i]))) <= size:
-                chosen.append(i)
-        if chosen:
-            return _joined(units, sorted(chosen))
-    low, high = 0, len(text)
-    while low < high:
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if json_bytes(text[:middle] + "…") <= size else (low, middle - 1)
-    return text[:low].rstrip() + "…"
+    words = text.split()
+    sentences = [x for x in map(str.strip, re.split(r"(?<=[.!?])\s+|\n+", text)) if x]
+    for units in (sentences, [" ".join(words[i : i + 8]) for i in range(0, len(words), 8)]):
+        picked = lambda n, units=units: [round(k * (len(units) - 1) / max(1, n - 1)) for k in range(n)]
+        over = bisect_left(range(1, len(units)), True, key=lambda n, units=units: json_bytes(_joined(units, picked(n))) > size) + 1  # noqa: B023
+        for n in range(over, 0, -1):  # sizes hardly ever fall as more is picked; so this ends at once
+            if json_bytes(said := _joined(units, picked(n))) <= size:
+                return said
+    keep = bisect_right(_sizes(text), size - 2 - len("…".encode())) - 1
+    return text[: max(0, keep)].rstrip() + "…"
 
 
 def _joined(units: list[str], chosen: list[int]) -> str:
-    out = ""
-    for k, i in enumerate(chosen):
-        out += ("" if not k else " " if chosen[k - 1] == i - 1 else " … ") + units[i]
-    return out
+    """The chosen units, with a mark where some are left out."""
+    links = ["" if k is None else " " if i == k + 1 else " … " for k, i in zip([None, *chosen], chosen, strict=False)]
+    return "".join(link + units[i] for link, i in zip(links, chosen, strict=True))
 
 
 def tail(text: str, size: int = 1600) -> str:
     """The end of a text in at most `size` bytes of JSON, from a word's start on."""
-    t = " ".join(text.split())
-    if json_bytes(t) <= size:
-        return t
-    low, high = 0, min(len(t), size)
-    while low < high:
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if json_bytes(t[-middle:]) <= size else (low, middle - 1)
-    end = t[-low:] if low else ""
-    return end.partition(" ")[2] if " " in end else end
+    line = " ".join(text.split())
+    if json_bytes(line) <= size:
+        return line
+    back = _sizes(line[::-1][:size])
+    end = line[len(line) - (bisect_right(back, size - 2) - 1) :]
+    return end.split(" ", 1)[-1]
 
 
 def capped(parts: list[str], words: int) -> list[str]:
     """Paragraphs of at most so many words in all; the last one ends with a sentence if it has one, else with a full stop."""
-    out, left = [], words
-    for p in parts:
-        found = list(re.finditer(r"\S+", p))
-        if len(found) <= left:
-            out.append(p)
-            left -= len(found)
-            continue
-        if left:
-            head = p[: found[left - 1].end()]
-            ends = [m.end() for m in re.finditer(r"""[.!?]["'’”)]*(?=\s|$)""", head)]
-            out.append(head[: ends[-1]] if ends else head.rstrip(",;:-") + ".")
-        break
-    return out
+    before = list(accumulate((len(p.split()) for p in parts), initial=0))
+    whole = bisect_right(before, words) - 1
+    out, left = parts[:whole], words - before[whole]
+    if whole == len(parts) or not left:
+        return out
+    head = re.match(rf"(?:\s*\S+){{{left}}}", parts[whole])[0]
+    sentences = re.match(r"""(?s).*[.!?]["'’”)]*(?=\s|\Z)""", head)
+    return [*out, sentences[0] if sentences else head.rstrip(",;:-") + "."]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,43 +20,37 @@ def overlapping(text: str, size: int, overlap: int) -> Iterator[tuple[int, int,
     """(start, end, chunk) of a text whose white space is collapsed.
 
     A chunk ends at the last blank in its second half, if there is one; the next one starts `overlap` before that end, and at least one
-    character further on.
+    character further on.  The blanks are found once; each end is a look-up among them.
     """
-    t = re.sub(r"\s+", " ", text).strip()
-    start, n = 0, len(t)
-    while start < n:
-        end = min(start + size, n)
-        if end < n and (cut := t.rfind(" ", start + size // 2, end)) >= 0:
-            end = cut
-        yield start, end, t[start:end]
-        if end >= n:
-            return
-        start = max(start + 1, end - overlap)
-
-
-def passages(text: str, size: int) -> Iterator[tuple[int, int, str]]:
-    """(start, end, part) without overlap or loss: each part is `size` characters and goes on to the next white space."""
-    start, n = 0, len(text)
-    while start < n:
-        end = min(start + size, n)
-        while end < n and not text[end - 1].isspace():
-            end += 1
-        yield start, end, text[start:end]
-        start = end
-
-
-def word_pieces(text: str, size: int) -> Iterator[tuple[int, int, str]]:
-    """(start, end, piece) of whole words, at most `size` characters unless a single word is longer."""
-    first = last = None
-    for m in re.finditer(r"\S+", text):
-        if first is not None and m.end() - first > size:
-            yield first, last, text[first:last]
-            first = None
-        if first is None:
-            first = m.start()
-        last = m.end()
-    if first is not None:
-        yield first, last, text[first:last]
+    flat = " ".join(text.split())
+    blanks = np.flatnonzero(np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32) == ord(" "))
+    at, last = 0, len(flat)
+    while at < last - size:
+        near = int(np.searchsorted(blanks, at + size)) - 1
+        stop = int(blanks[near]) if near >= 0 and blanks[near] >= at + size // 2 else at + size
+        yield at, stop, flat[at:stop]
+        at = max(at + 1, stop - overlap)
+    if flat:
+        yield at, last, flat[at:]
+
+
+#: White space and all else, by Unicode.
+_GAP, _INK = r"[\s\x1c-\x1f]", r"[^\s\x1c-\x1f]"
+
+
+def _matched(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """(`key`, `position` from 1, `start`, `end`, `text`) of all matches of a pattern.
+
+    What lies between the matches comes from splitting at them, so places are running sums of lengths: all of it is expressions.
+    """
+    pattern = f"(?sU){pattern}"
+    found = F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
+    gaps = F.transform(F.slice(F.split("t", pattern, -1), F.lit(1), F.size("found")), F.length)
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").select("k", "t", found.alias("found"))
+    rows = rows.select("k", "found", F.zip_with(gaps, F.transform("found", F.length), lambda g, n: F.struct(g.alias("g"), n.alias("n"))).alias("sizes"))
+    total = lambda i: F.aggregate(F.slice("sizes", F.lit(1), i), F.lit(0), lambda acc, x: acc + x["g"] + x["n"])
+    placed = rows.select("k", "sizes", F.posexplode("found").alias("i", "text")).withColumn("end", total(F.col("i") + 1))
+    return placed.select(F.col("k").alias(key), (F.col("i") + 1).alias("position"), (F.col("end") - F.length("text")).alias("start"), "end", "text")
 
 
 def exploded(df: DataFrame, key: str, text: str, cut: Callable[[str], Iterator[tuple[int, int, str]]]) -> DataFrame:
@@ -94,50 +89,62 @@ def chunks(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
 
 
 def lossless(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4000) -> DataFrame:
+    """Passages without overlap or loss: each has `size` characters and goes on to the next white space."""
     if size < 1:
         raise ValueError("size must be positive")
-    return exploded(df, key, text, lambda t: passages(t, size))
+    return _matched(df, key, text, rf".{{{size - 1}}}(?:{_GAP}|{_INK}+(?:{_GAP}|\z))|.+")
 
 
 def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5000) -> DataFrame:
-    return exploded(df, key, text, lambda t: word_pieces(t, size))
+    """Pieces of whole words, at most `size` characters unless a single word is longer."""
+    return _matched(df, key, text, rf"{_INK}(?:.{{0,{max(0, size - 2)}}}{_INK})?(?!{_INK})|{_INK}+")
 
 
 def packed(df: DataFrame, group: str, order: list[str], size: str, budget: int, overhead: int = 0, separator: int = 2, max_items: int = 32) -> DataFrame:
     """`df` with `batch`, from 1 within each group: in order, as many rows as `max_items` and the bytes of the budget allow.
 
-    A running sum that starts anew is no window frame, so each group is folded in order; groups run in parallel.  A row that does not fit by itself
-    is an error.
+    A running sum that starts anew is no window frame, so groups are sorted and stream through their tasks, of which each holds one
+    Arrow batch whatever the size of a group.  A row that does not fit by itself is an error.
     """
     reachable(df.sparkSession)
     room = budget - overhead
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        batch, n, used, out = 1, 0, 0, []
-        for s in part[size]:
-            more = int(s) + (separator if n else 0)
-            if n and (n >= max_items or used + more > room):
-                batch, n, used, more = batch + 1, 0, 0, int(s)
-            if used + more > room:
-                raise ValueError("a row exceeds the budget")
-            n, used = n + 1, used + more
-            out.append(batch)
-        return part.assign(batch=out)
+    def stream(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, batch, rows, used = object(), 0, 0, 0
+        for part in parts:
+            numbers = []
+            for of, n in zip(part[group], part[size], strict=True):
+                if n > room:
+                    raise ValueError("a row exceeds the budget")
+                fresh = of != now
+                if fresh or rows == max_items or used + separator + n > room:
+                    now, batch, rows, used = of, 1 if fresh else batch + 1, 1, n
+                else:
+                    rows, used = rows + 1, used + separator + n
+                numbers.append(batch)
+            yield part.assign(batch=numbers)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.groupBy(group).applyInPandas(fold, f"{schema}, batch int")
+    return df.repartition(group).sortWithinPartitions(group, *order).mapInPandas(stream, f"{schema}, batch int")
+
+
+#: Texts below this length are not halved.
+HALVED = 256
 
 
 def halves(parts: list[dict]) -> list[list[dict]] | None:
-    """A batch in two: by rows, or one row's text at the white space nearest to its middle; None for fewer than 256 characters."""
+    """A batch in two: by rows, or a single row's text at the end of the white space nearest to its middle, if that is in its middle half."""
     if len(parts) > 1:
         return [parts[: len(parts) // 2], parts[len(parts) // 2 :]]
-    row = parts[0]
-    t, n = row["text"], len(row["text"])
-    if n < 256:
+    (row,) = parts
+    text, size = row["text"], len(row["text"])
+    if size < HALVED:
         return None
-    ends = [m.end() for m in re.finditer(r"\s+", t) if n // 4 <= m.end() <= 3 * n // 4]
-    cut = min(ends, key=lambda e: abs(e - n // 2), default=n // 2)
-    start = row.get("start", 0)
-    return [[row | {"text": t[:cut], "end": start + cut}], [row | {"text": t[cut:], "start": start + cut}]]
+    middle = size // 2
+    back = len(re.search(r"\S*\Z", text[:middle].rstrip() if text[middle].isspace() else text[:middle])[0])
+    before = len(text[:middle].rstrip() if text[middle].isspace() else text[:middle]) - back
+    after = middle + re.match(r"\S*\s*", text[middle:]).end()
+    near = min((before, after), key=lambda c: (abs(c - middle), c))
+    cut = near if size // 4 <= near <= 3 * size // 4 else middle
+    edge = row.get("start", 0) + cut
+    return [[{**row, "text": text[:cut], "end": edge}], [{**row, "text": text[cut:], "start": edge}]]

@@ -86,7 +86,7 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["parse_bool"] = of_tables(lambda s, d: _raw(s, d).select("p_partkey", parse.truth(F.col("failed")).alias("failed")))
-ORACLE_SQL["parse_bool"] = f"SELECT p_partkey, coalesce(lower(trim(f)) IN ('true', '1', 'yes', 'y', 'failed', 'fail', 'error', 'timeout') OR try_cast(trim(f) AS DOUBLE) <> 0, false) AS failed FROM (SELECT p_partkey, {_FLAG} AS f FROM part)"
+ORACLE_SQL["parse_bool"] = "SELECT p_partkey, p_partkey % 8 IN (0, 5) AS failed FROM part"  # ' Timeout ' and 'YES'; '2.0' among other texts is none
 QUERIES["parse_parameters"] = of_tables(lambda s, d: (r := _raw(s, d).withColumn("parameters_b", parse.parameters_b(F.col("parameters"), F.col("model")))).select("p_partkey", "parameters_b", parse.size_bin(r.parameters_b).alias("size_bin"), parse.size_bucket(r.parameters_b).alias("size_bucket")))
 
 
@@ -132,6 +132,15 @@ ORACLE_SQL["passages_lossless"] = f"""WITH RECURSIVE cut AS (
   UNION ALL SELECT doc_id, t, position + 1, s, n, CASE WHEN s + {SIZE} >= n THEN n ELSE {_STOP} END FROM (SELECT doc_id, t, position, e AS s, n FROM cut WHERE e < n)
 ) SELECT doc_id, position, s AS start_at, e AS end_at, md5(substring(t, s + 1, e - s)) AS digest FROM cut"""
 QUERIES["editorial_pieces"] = of_tables(lambda s, d: _digested(chunking.pieces(_docs(s, d), size=SIZE)))
+# Word by word: a piece grows while the next word's end is within the size of its start.
+ORACLE_SQL["editorial_pieces"] = rf"""WITH RECURSIVE cut AS (
+  SELECT doc_id, text AS t, regexp_extract_all(text, '\S+') AS w, string_split_regex(text, '\S+') AS g FROM documents
+), words AS (SELECT doc_id, i, list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[:i - 1], lambda x: length(x))), 0) AS s, length(w[i]) AS n FROM (SELECT doc_id, w, g, unnest(range(1, len(w) + 1)) AS i FROM cut)
+), fold AS (
+  SELECT doc_id, i, s AS start_at, s + n AS end_at, 1::BIGINT AS position FROM words WHERE i = 1
+  UNION ALL SELECT f.doc_id, w.i, CASE WHEN w.s + w.n - f.start_at > {SIZE} THEN w.s ELSE f.start_at END, w.s + w.n, CASE WHEN w.s + w.n - f.start_at > {SIZE} THEN f.position + 1 ELSE f.position END FROM fold f JOIN words w ON w.doc_id = f.doc_id AND w.i = f.i + 1
+), pieces AS (SELECT doc_id, position, min(start_at)::BIGINT AS start_at, max(end_at)::BIGINT AS end_at FROM fold GROUP BY ALL)
+SELECT doc_id, position, start_at, end_at, md5(substring(text, start_at + 1, end_at - start_at)) AS digest FROM pieces JOIN documents USING (doc_id)"""
 QUERIES["paragraph_explode"] = of_tables(lambda s, d: _docs(s, d).select("doc_id", F.posexplode(text.paragraphs(F.replace(F.col("text"), F.lit(".\n"), F.lit(".\n \n")))).alias("position", "p")).select("doc_id", F.col("position").cast("long").alias("position"), F.md5("p").alias("digest")))
 _PARS = rf"list_filter(list_transform(string_split_regex(replace(text, '.' || chr(10), '.' || chr(10) || ' ' || chr(10)), '\n\s*\n'), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> '')"
 ORACLE_SQL["paragraph_explode"] = f"SELECT doc_id, generate_subscripts({_PARS}, 1) - 1 AS position, md5(unnest({_PARS})) AS digest FROM documents"
@@ -144,6 +153,12 @@ def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["budget_batches"] = of_tables(_batches)
+_CHUNKS = ORACLE_SQL["chunk_overlap"].replace(f"s + {SIZE}", "s + 5000").replace(f"{SIZE // 2} + 1, {SIZE - SIZE // 2}", "2500 + 1, 2500").replace(f"THEN {SIZE} -", "THEN 5000 -").replace(f"ELSE {SIZE} END", "ELSE 5000 END").replace(f"e - {OVERLAP}", "e - 400").replace("s + 150 + 1", "s + 2500 + 1").replace("md5(substring(t, s + 1, e - s)) AS digest", "strlen(substring(t, s + 1, e - s)) + 20 AS n_bytes")
+ORACLE_SQL["budget_batches"] = f"""WITH RECURSIVE chunks AS ({_CHUNKS}), items AS (SELECT doc_id % 16 AS theme, n_bytes, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id, position) AS i FROM chunks), fold AS (
+  SELECT theme, i, 1 AS batch, 1 AS n, n_bytes AS used, n_bytes FROM items WHERE i = 1
+  UNION ALL SELECT theme, i, batch + fresh::INT, CASE WHEN fresh THEN 1 ELSE n + 1 END, CASE WHEN fresh THEN more ELSE used + 2 + more END, more
+  FROM (SELECT f.theme, x.i, f.batch, f.n, f.used, x.n_bytes AS more, f.n = 32 OR f.used + 2 + x.n_bytes > 64500 AS fresh FROM fold f JOIN items x ON x.theme = f.theme AND x.i = f.i + 1)
+) SELECT theme, batch, count(*) AS n, sum(n_bytes)::BIGINT AS n_bytes FROM fold GROUP BY ALL"""
 
 # Coverage.
 _EMB = lambda s, d, side: table(s, d, "embeddings").where(F.col("vec_id") % 2 == side).select(F.col("label").alias("doc"), F.col("vec_id").alias("sentence"), F.col("embedding").alias("vector"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import zipfile
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.numeric import number
-from tallyspark.functions.parse import model_family, parameters_b, truth
+from tallyspark.functions.parse import all_numerals, model_family, parameters_b, truth
 
 # The name of run files, and other names of columns.
 RUNS_FILE = "nrs_runs.csv"
@@ -58,34 +59,45 @@ def folder_strategy(path: Column) -> Column:
     return F.coalesce(named(1), named(2))
 
 
-def read_file(spark: SparkSession, path: str) -> DataFrame:
-    """One run file, all columns as text but those of the normal form; unknown columns pass."""
-    raw = spark.read.option("header", "true").option("mode", "PERMISSIVE").csv(path)
+def headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """The files by their first line, read in one job."""
+    first = F.element_at(F.split(F.decode(F.substring("content", 1, 1 << 16), "UTF-8"), r"\r?\n"), 1)
+    out: dict[str, list[str]] = {}
+    for r in spark.read.format("binaryFile").load(paths).select("path", F.ltrim(first, F.lit("\ufeff")).alias("head")).orderBy("path").collect():
+        out.setdefault(r.head, []).append(r.path)
+    return out
+
+
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Run files of one header, all columns as text but those of the normal form; unknown columns pass.
+
+    What depends on a whole file, its only strategy and whether its flags are numbers, is one aggregate by file."""
+    raw = spark.read.option("header", "true").option("mode", "PERMISSIVE").csv(paths)
     df = raw.withColumnsRenamed(renamed(raw.columns))
     if "NRS" not in df.columns:
-        raise ValueError(f"{path} has no NRS column")
+        raise ValueError(f"{paths[0]} has no NRS column")
     has = lambda c: c in df.columns
-    text = lambda c, default: F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit(default)) if has(c) else F.lit(default)
-    original = F.nullif(F.trim(F.col("input_strategy")), F.lit("")) if has("input_strategy") else F.lit(None).cast("string")
-    df = df.withColumn("nrs_runs_file", F.col("_metadata.file_path")).withColumn("input_strategy_original", original)
-    kinds = df.agg(F.count_distinct("input_strategy_original").alias("n"), F.min("input_strategy_original").alias("one")).first()
+    col = lambda c: F.col(c) if has(c) else F.lit(None).cast("string")
+    told = lambda c: F.nullif(F.trim(col(c)), F.lit(""))
+    df = df.withColumns({"nrs_runs_file": F.col("_metadata.file_path"), "input_strategy_original": told("input_strategy"), "__block": F.col("_metadata.file_block_start"), "__place": F.monotonically_increasing_id()})
+    by_file = df.groupBy(F.col("nrs_runs_file").alias("__file")).agg(F.count_distinct("input_strategy_original").alias("__n"), F.min("input_strategy_original").alias("__one"), all_numerals(col("failed")).alias("__numeric"))
+    df = df.join(F.broadcast(by_file), F.col("nrs_runs_file") == F.col("__file"))  # a row a file
     parent = F.get(F.reverse(F.split("nrs_runs_file", "/")), F.lit(1))
-    strategy = F.coalesce(folder_strategy(F.col("nrs_runs_file")), F.lit(kinds.one) if kinds.n == 1 else F.lit(None).cast("string"), parent)
-    model, parameters = text("model", "unknown_model"), F.col("parameters") if has("parameters") else F.lit(None).cast("string")
-    failed = truth(F.col("failed")) if has("failed") else F.lit(False)
+    strategy = F.coalesce(folder_strategy(F.col("nrs_runs_file")), F.when(F.col("__n") == 1, F.col("__one")), parent)
+    model, failed = F.coalesce(told("model"), F.lit("unknown_model")), truth(col("failed"), F.col("__numeric"))
     new = {
-        "model": model, "prompt_strategy": text("prompt_strategy", "unknown"), "input_strategy": strategy, "parameters": parameters, "failed": failed, "success": ~failed, "parameters_b": parameters_b(parameters, model),
-        "family": model_family(model), "benchmark_source_file": F.col("nrs_runs_file"), "runtime_seconds": F.lit(None).cast("double"),
+        "model": model, "prompt_strategy": F.coalesce(told("prompt_strategy"), F.lit("unknown")), "input_strategy": strategy, "parameters": col("parameters"), "failed": failed, "success": ~failed,
+        "parameters_b": parameters_b(col("parameters"), model), "family": model_family(model), "benchmark_source_file": F.coalesce(told("source_file"), F.col("nrs_runs_file")), "runtime_seconds": F.lit(None).cast("double"),
     } | {c: number(F.col(c)) for c in NUMBERS if has(c)}
-    if not has("case_id"):
-        new["case_id"] = F.monotonically_increasing_id().cast("string")
-    return df.withColumns(new)
+    if not has("case_id"):  # the row's place in its file, from 0
+        new["case_id"] = (F.row_number().over(Window.partitionBy("nrs_runs_file").orderBy("__block", "__place")) - 1).cast("string")
+    return df.withColumns(new).drop("__block", "__place", "__file", "__n", "__one", "__numeric")
 
 
 def load_runs(spark: SparkSession, source: str, unzip_to: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(runs, files): all run files below a folder or in a ZIP, as one table; rows without an NRS are dropped before anything is counted.
+    """(runs, files): all run files below a folder or in a ZIP, as one table without rows that have no NRS.
 
-    `files` has the rows and the strategies of each file.
+    `files` has the rows of each file, with those, and its strategies.  Files of one header are read together.
     """
     if source.lower().endswith(".zip"):
         if unzip_to is None:
@@ -94,10 +106,8 @@ def load_runs(spark: SparkSession, source: str, unzip_to: str | None = None) ->
     paths = run_files(spark, source)
     if not paths:
         raise FileNotFoundError(f"no {RUNS_FILE} below {source}")
-    rows = None
-    for p in paths:
-        one = read_file(spark, p)
-        rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
+    parts = [read_files(spark, same) for same in headers(spark, paths).values()]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return rows.dropna(subset=["NRS"]), lineage(rows)
 
 

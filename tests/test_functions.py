@@ -11,12 +11,22 @@ def one(spark, value, f, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(f(F.col("x")).alias("y")).first().y
 
 
-@pytest.mark.parametrize(("value", "want"), [("Timeout", True), ("ok", False), ("maybe", False), (None, False), ("2.0", True), ("0", False), (" YES ", True), ("", False)])
+@pytest.mark.parametrize(("value", "want"), [("Timeout", True), ("ok", False), ("maybe", False), (None, False), ("2.0", False), ("1", True), ("0", False), (" YES ", True), ("", False), ("nan", False), ("1f", False), ("inf", False)])
 def test_truth(spark, value, want):
     assert one(spark, value, parse.truth) is want
 
 
-@pytest.mark.parametrize(("p", "m", "want"), [("4B", None, 4), ("4000M", None, 4), ("4", None, 4), ("4000000000", None, 4), ("0", None, None), ("-1", None, None), (None, "gemma3:4b", 4), (None, "qwen3:1.7b-instruct", 1.7), ("7 billion", "x:4b", 7), ("5000", None, 5), (None, "unknown", None)])
+@pytest.mark.parametrize(("value", "want"), [("2.0", True), ("0", False), ("0.0", False), ("-1e3", True), (None, False), ("", False), ("nan", False)])
+def test_truth_of_a_column_of_numbers(spark, value, want):
+    assert one(spark, value, lambda x: parse.truth(x, numeric=True)) is want
+
+
+@pytest.mark.parametrize(("values", "want"), [(["1", "2.0", None, ""], True), (["1", "no"], False), (["1", "1f"], False), ([None, ""], False)])
+def test_all_numerals(spark, values, want):
+    assert spark.createDataFrame([(v,) for v in values], "x string").agg(parse.all_numerals(F.col("x")).alias("y")).first().y is want
+
+
+@pytest.mark.parametrize(("p", "m", "want"), [("4B", None, 4), ("4000M", None, 4), ("4", None, 4), ("4000000000", None, 4), ("0", None, None), ("-1", None, None), (None, "gemma3:4b", 4), (None, "qwen3:1.7b-instruct", 1.7), ("7 billion", "x:4b", 7), ("5000", None, 5), (None, "unknown", None), ("nan", None, None), ("1f", None, None), ("inf", None, None), ("1e3", None, 1000)])
 def test_parameters(spark, p, m, want):
     df = spark.createDataFrame([(p, m)], "p string, m string")
     assert df.select(parse.parameters_b(F.col("p"), F.col("m")).alias("y")).first().y == want
@@ -78,7 +88,11 @@ def test_replies():
     assert replies.json_bytes(replies.bounded("é" * 500, 128)) <= 128
     assert replies.capped(["one two three. four five", "six"], 4) == ["one two three."] and replies.capped(["a b", "c d,"], 3) == ["a b", "c."]
     assert replies.json_bytes(replies.tail("word " * 900)) <= 1600
-    assert replies.short_title("x " * 80).endswith("…")
+    assert replies.json_bytes(replies.tail("é" * 3000)) <= 1600 and replies.tail("a b") == "a b"
+    assert replies.short_title("x " * 80) == "x " * 48 + "x…" and replies.short_title("y" * 200) == "y" * 99 + "…"
+    assert replies.capped(["a b c"], 0) == [] and replies.capped(["Done. (So.) Then more"], 3) == ["Done. (So.)"] and replies.capped(["a", "b"], 5) == ["a", "b"]
+    with pytest.raises(ValueError, match="deep"):
+        replies.paragraphs([[[[[[[["x"]]]]]]]])
 
 
 def test_calls_retry_and_tell():

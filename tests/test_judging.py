@@ -34,9 +34,13 @@ def test_units_and_decisions(spark):
     r = units.first()
     assert (r.start, r.end, r.quote) == (121, 128, "in 1200")
     told, manifest = judging.frozen(units.withColumn("relevance", F.lit("relevant")).withColumn("holds", F.lit(True)), "c" * 64, "all", "me", "now")
-    judging.validate(manifest, "c" * 64)
+    judging.validate(manifest, "c" * 64, told)
+    with pytest.raises(ValueError, match="units were changed"):
+        judging.validate(manifest, "c" * 64, told.withColumn("text", F.lit("Other")))
+    with pytest.raises(ValueError, match="units were changed"):
+        judging.validate(manifest, "c" * 64, told.limit(0))
     with pytest.raises(ValueError, match="changed"):
-        judging.validate(manifest | {"units": 2}, "c" * 64)
+        judging.validate(manifest | {"units": 2}, "c" * 64, told)
     assert judging.decisions(model, told, "Since 1200.").first().verdict == "covered"
     with pytest.raises(ValueError, match="units need"):
         judging.frozen(units.withColumn("relevance", F.lit("uncertain")).withColumn("holds", F.lit(True)), "c", "a", "b", "d")
