@@ -39,12 +39,11 @@ def sentence_coverage(source: DataFrame, generated: DataFrame, key: str, thresho
     a = source.select(key, F.col("sentence").alias("s"), unit(F.col("vector")).alias("u"))
     b = generated.select(F.col(key).alias("k"), F.col("sentence").alias("g"), unit(F.col("vector")).alias("v"))
     met = a.join(b, F.col(key) == F.col("k")).select(key, "s", "g", _dot(F.col("u"), F.col("v")).alias("sim"))
-
-    def mean_of(side: str, name: str) -> DataFrame:
-        best = met.groupBy(key, side).agg(F.max("sim").alias("best"))
-        return best.groupBy(key).agg(*[share(F.col("best") >= t).alias(f"{name}_{suffix(t)}") for t in thresholds])
-
-    return mean_of("s", "source_coverage").join(mean_of("g", "generation_support"), key)
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("of_source"), F.col("s").alias("n")), F.struct(F.lit(False).alias("of_source"), F.col("g").alias("n")))).alias("x")
+    best = met.select(key, "sim", sides).groupBy(key, "x").agg(F.max("sim").alias("best"))
+    part = lambda of, t: F.avg(F.when(F.col("x.of_source") == of, (F.col("best") >= t).cast("double")))
+    names = [("source_coverage", True), ("generation_support", False)]
+    return best.groupBy(key).agg(*[part(of, t).alias(f"{name}_{suffix(t)}") for name, of in names for t in thresholds])
 
 
 def text_measures(df: DataFrame, source: str, generated: str) -> DataFrame:

@@ -19,7 +19,7 @@ CASE_THRESHOLDS = [*THRESHOLDS[:-1], ("all", None)]
 RELIABLE = 0.05
 NEEDED = "parameters_b IS NOT NULL AND mean_NRS IS NOT NULL AND mean_runtime_seconds IS NOT NULL AND failure_rate IS NOT NULL"
 #: Rows that a task compares at a time.
-BLOCK = 2_000
+BLOCK = 1_000
 
 
 def undominated(x: np.ndarray) -> np.ndarray:
@@ -34,37 +34,53 @@ def undominated(x: np.ndarray) -> np.ndarray:
     for at in range(0, len(x), BLOCK):
         part = order[at : at + BLOCK]
         rows = x[part]
-        against = np.vstack([kept, rows])
         alive = np.ones(len(rows), bool)
-        for row in against:
-            alive &= ~((row <= rows).all(1) & (row < rows).any(1))
+        for others in (kept, rows):  # what was kept drops most; the rest meets itself
+            left = np.flatnonzero(alive)
+            for first in range(0, len(others), BLOCK):
+                alive[left] &= ~_dominated(rows[left], others[first : first + BLOCK])
         good[part] = alive
         kept = np.vstack([kept, rows[alive]])
     return good
 
 
+def _dominated(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which rows one of the others beats in a column without losing in any."""
+    no_worse, better = np.ones((len(others), len(rows)), bool), np.zeros((len(others), len(rows)), bool)
+    for a, b in zip(others.T, rows.T, strict=True):
+        no_worse &= a[:, None] <= b
+        better |= a[:, None] < b
+    return (no_worse & better).any(0)
+
+
+#: Tasks of the last merges of partial frontiers.
+MERGES = (16, 1)
+
+
 def frontier(config: DataFrame) -> DataFrame:
     """Configurations that none beats in one of NRS, runtime, size and failure rate without losing in another.
 
     Rows with a null in one of the four are left out.  Each partition first drops what is dominated within it,
-    which takes nothing from the result, as what a dropped row dominates its dominator does too; then the
-    few that are left are compared with each other.
+    which takes nothing from the result, as what a dropped row dominates its dominator does too; then
+    partial frontiers are merged as a tree.  The input is read once, and a task holds a frontier and one Arrow batch.
     """
     reachable(config.sparkSession)
-    usable = config.where(NEEDED)
     columns = ["mean_NRS", "mean_runtime_seconds", "parameters_b", "failure_rate"]
+    left = config.where(NEEDED)
+    schema = left.schema
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = list(batches)
-        if rows:
-            part = pd.concat(rows)
-            yield part[undominated(part[columns].to_numpy(float) * np.array([-1, 1, 1, 1]))]
+        best = None
+        for b in batches:
+            best = b if best is None else pd.concat([best, b])
+            best = best[undominated(best[columns].to_numpy(float) * np.array([-1, 1, 1, 1]))]
+        if best is not None:
+            yield best
 
-    left = usable.mapInPandas(local, usable.schema)
-    a, b = left.alias("a"), left.select(*[F.col(c).alias(f"o_{c}") for c in columns]).distinct().alias("b")
-    no_worse = (F.col("o_mean_NRS") >= F.col("mean_NRS")) & (F.col("o_mean_runtime_seconds") <= F.col("mean_runtime_seconds")) & (F.col("o_parameters_b") <= F.col("parameters_b")) & (F.col("o_failure_rate") <= F.col("failure_rate"))
-    better = (F.col("o_mean_NRS") > F.col("mean_NRS")) | (F.col("o_mean_runtime_seconds") < F.col("mean_runtime_seconds")) | (F.col("o_parameters_b") < F.col("parameters_b")) | (F.col("o_failure_rate") < F.col("failure_rate"))
-    return a.join(b, no_worse & better, "left_anti").orderBy("parameters_b", "mean_runtime_seconds", F.desc("mean_NRS"), "model", "input_strategy", "prompt_strategy")
+    left = left.mapInPandas(local, schema)
+    for tasks in MERGES:
+        left = left.repartition(tasks).mapInPandas(local, schema)
+    return left.orderBy("parameters_b", "mean_runtime_seconds", F.desc("mean_NRS"), "model", "input_strategy", "prompt_strategy")
 
 
 def by_quality() -> list[Column]:
@@ -97,18 +113,18 @@ def best_by_criteria(config: DataFrame, reliable: float = RELIABLE) -> DataFrame
 
     The efficiency criteria do not ask for reliability."""
     usable = config.where(NEEDED)
-    quality = [F.desc("mean_NRS"), F.asc("failure_rate"), F.asc("mean_runtime_seconds")]
-    ratio = lambda c: [F.desc_nulls_last(c), F.desc("mean_NRS")]
+    down = lambda c: (-F.col(c)).alias(f"by_{c}")
+    quality = [down("mean_NRS"), F.col("failure_rate").alias("by_failure"), F.col("mean_runtime_seconds").alias("by_runtime")]
+    ratio = lambda c: [F.col(c).isNull().alias("none"), down(c), down("mean_NRS")]
     criteria = [
         ("best raw quality", F.lit(True), quality), ("best balanced score", F.lit(True), ratio("balanced_score")), ("best reliable balanced score", F.col("failure_rate") <= reliable, ratio("balanced_score")),
         ("best quality per second", F.lit(True), ratio("NRS_per_second")), ("best quality per billion parameters", F.lit(True), ratio("NRS_per_billion_parameters")), ("best quality per parameter-second", F.lit(True), ratio("NRS_per_parameter_second")),
     ]
-    names = config.sparkSession.createDataFrame([(i, c[0]) for i, c in enumerate(criteria)], "position int, criterion string")
-    found = None
-    for name, condition, keys in criteria:
-        one = usable.where(condition).orderBy(*keys, *CONFIGURATION).limit(1).withColumn("criterion", F.lit(name))
-        found = one if found is None else found.unionByName(one)
-    return names.join(found, "criterion", "left").orderBy("position").drop("position")
+    whole = F.struct(*[F.col(c) for c in usable.columns]).alias("row")
+    # the least struct of each: one aggregate of six values, combined before its shuffle
+    least = usable.agg(*[F.min(F.when(met, F.struct(*keys, *[F.col(c).alias(f"tie_{c}") for c in CONFIGURATION], whole))).alias(f"m{i}") for i, (_, met, keys) in enumerate(criteria)])
+    rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c[0]).alias("criterion"), F.col(f"m{i}.row").alias("row")) for i, c in enumerate(criteria)])
+    return least.select(F.explode(rows).alias("x")).select("x.*").orderBy("position").select("criterion", "row.*")
 
 
 def quality_speed(config: DataFrame, n: int = 10) -> DataFrame:

@@ -177,11 +177,11 @@ ORACLE_SQL["sentence_coverage"] = rounded_sql(
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document and the benchmark item of its number, as source and generated text."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("generated"))
-    return _docs(spark, sf_dir).withColumnRenamed("text", "source").join(b, F.col("doc_id") % 50 == F.col("item_id"), "left")
+    return _docs(spark, sf_dir).withColumnRenamed("text", "source").join(b, F.col("doc_id") % b.count() == F.col("item_id"), "left")
 
 
 QUERIES["compression_ratio"] = of_tables(lambda s, d: coverage.text_measures(_pairs(s, d), "source", "generated").select("doc_id", "source_word_count", "generated_word_count", "compression_ratio", "source_sentence_count"))
-ORACLE_SQL["compression_ratio"] = rounded_sql(rf"SELECT doc_id, {_TERMS} AS source_word_count, g AS generated_word_count, g / nullif({_TERMS}, 0) AS compression_ratio, len({_SENTENCES}) AS source_sentence_count FROM documents LEFT JOIN (SELECT item_id, {_TERMS} AS g FROM benchmark) ON doc_id % 50 = item_id")
+ORACLE_SQL["compression_ratio"] = rounded_sql(rf"SELECT doc_id, {_TERMS} AS source_word_count, g AS generated_word_count, g / nullif({_TERMS}, 0) AS compression_ratio, len({_SENTENCES}) AS source_sentence_count FROM documents LEFT JOIN (SELECT item_id, {_TERMS} AS g FROM benchmark) ON doc_id % (SELECT count(*) FROM benchmark) = item_id")
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,11 +215,11 @@ def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["coverage_cache_merge"] = of_tables(_cached)
 ORACLE_SQL["coverage_cache_merge"] = r"SELECT doc_id % 2 = 0 AS was_cached, count(*) AS n_rows, sum(CASE WHEN doc_id % 2 = 0 THEN -1 ELSE len(regexp_extract_all(text, '[^\s\p{Z}\x85]+')) END)::BIGINT AS n_words FROM documents GROUP BY 1"
-QUERIES["entity_coverage"] = of_tables(lambda s, d: _pairs(s, d).select("doc_id", text.containment(F.array_distinct(F.slice(F.split("generated", " "), 1, 8)), F.col("source")).alias("coverage")))
+QUERIES["entity_coverage"] = of_tables(lambda s, d: _pairs(s, d).select("doc_id", text.containment(F.array_distinct(F.split("source", " ")), F.col("generated")).alias("coverage")))
 _PHRASE = lambda x: rf"regexp_replace(regexp_replace(regexp_replace(lower(trim({x})), '{_PUNCT}', '', 'g'), '{_WS}+', ' ', 'g'), '^ | $', '', 'g')"
 ORACLE_SQL["entity_coverage"] = rounded_sql(
     f"""SELECT doc_id, len(list_filter(p, lambda x: contains(s, {_PHRASE('x')}))) / nullif(len(p), 0) AS coverage
-    FROM (SELECT doc_id, {_PHRASE('d.text')} AS s, list_distinct(string_split(b.text, ' ')[1:8]) AS p FROM documents d LEFT JOIN benchmark b ON doc_id % 50 = item_id)""")
+    FROM (SELECT doc_id, {_PHRASE('b.text')} AS s, list_distinct(string_split(d.text, ' ')) AS p FROM documents d LEFT JOIN benchmark b ON doc_id % (SELECT count(*) FROM benchmark) = item_id)""")
 
 # Evaluation.
 _LABELS = lambda s, d: table(s, d, "labels").select("doc_id", "quality", "toxic")
@@ -289,8 +289,8 @@ def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ASSIGNED = "assigned AS (SELECT DISTINCT doc_id, unnest([doc_id % 3, doc_id % 5])::INT AS theme_id FROM documents WHERE doc_id % 7 > 0)"
-QUERIES["theme_chunks"] = of_tables(lambda s, d: _assigned(s, d).join(_docs(s, d), "doc_id").groupBy("theme_id").agg(F.count("*").alias("n_chunks"), F.sum(text.word_count(F.col("text"))).alias("n_words")))
-ORACLE_SQL["theme_chunks"] = rf"WITH {_ASSIGNED} SELECT theme_id, count(*) AS n_chunks, sum(len(regexp_extract_all(text, '[^\s\p{{Z}}\x85]+')))::BIGINT AS n_words FROM assigned JOIN documents USING (doc_id) GROUP BY theme_id"
+QUERIES["theme_chunks"] = of_tables(lambda s, d: _docs(s, d).select("doc_id", _THEMES()).join(_docs(s, d), "doc_id").groupBy("theme_id").agg(F.count("*").alias("n_chunks"), F.sum(text.word_count(F.col("text"))).alias("n_words")))
+ORACLE_SQL["theme_chunks"] = rf"WITH {_ASSIGNED.partition(' WHERE')[0]}) SELECT theme_id, count(*) AS n_chunks, sum(len(regexp_extract_all(text, '[^\s\p{{Z}}\x85]+')))::BIGINT AS n_words FROM assigned JOIN documents USING (doc_id) GROUP BY theme_id"
 QUERIES["unassigned_chunks"] = of_tables(lambda s, d: _docs(s, d).join(_assigned(s, d), "doc_id", "left_anti").select("doc_id", F.lit("no theme").alias("reason")))
 ORACLE_SQL["unassigned_chunks"] = "SELECT doc_id, 'no theme' AS reason FROM documents WHERE doc_id % 7 = 0"
 QUERIES["routing_totality"] = of_tables(lambda s, d: evaluation.set_difference(_docs(s, d).select("doc_id"), _assigned(s, d).select("doc_id").distinct()))
