@@ -126,3 +126,9 @@ def case_size_loss(config: DataFrame) -> DataFrame:
         "case_study", "threshold", F.col("model").alias("best_model"), F.col("input_strategy").alias("best_input_strategy"), F.col("prompt_strategy").alias("best_prompt_strategy"), F.col("mean_NRS").alias("best_mean_NRS"),
         F.col("mean_runtime_seconds").alias("runtime_seconds"), "parameters", (F.col("top") - F.col("mean_NRS")).alias("NRS_loss_vs_case_best"),
     )
+
+
+def loss_pivot(losses: DataFrame) -> DataFrame:
+    """A row for each case, with its loss within each size limit; limits that none meets are null."""
+    cells = [F.max(F.when(F.col("threshold") == t, F.col("NRS_loss_vs_case_best"))).alias(f"loss {t}") for t, _ in CASE_THRESHOLDS]
+    return losses.groupBy("case_study").agg(*cells)

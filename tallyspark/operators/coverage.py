@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.numeric import safe_divide, share
 from tallyspark.functions.text import sentences, term_count
+from tallyspark.session import reachable
 
 METRICS = [
     "bertscore_f1", "semantic_similarity", "source_coverage_075", "generation_support_075", "compression_ratio", "entity_coverage", "keyphrase_coverage",
@@ -98,3 +101,51 @@ def incremental(rows: DataFrame, cache: DataFrame, compute, key: str = "cache_ke
     """(`rows` with the cached columns, the cache with what is new): `compute` sees the rows that the cache lacks."""
     whole = merged(cache, compute(missing(rows, cache, key)), key)
     return rows.join(whole, key, "left"), whole
+
+
+def known_keys(rows: DataFrame, cache: DataFrame, key: str = "cache_key") -> DataFrame:
+    """(`current`, `cached`, `both`): distinct keys of the rows, of the cache, and of both."""
+    sides = rows.select(key, F.lit(1).alias("r"), F.lit(0).alias("c")).union(cache.select(key, F.lit(0), F.lit(1))).groupBy(key).agg(F.max("r").alias("r"), F.max("c").alias("c"))
+    return sides.agg(F.sum("r").alias("current"), F.sum("c").alias("cached"), F.count_if((F.col("r") == 1) & (F.col("c") == 1)).alias("both"))
+
+
+def _embedded(rows: DataFrame, text: str, embed: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """(cache_key, sentence, vector) of the sentences of a text, embedded batch by batch."""
+    kept = rows.select("cache_key", F.posexplode(sentences(F.coalesce(F.col(text), F.lit("")))).alias("sentence", "t"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            vectors = np.asarray(embed(b["t"].tolist()), float) if len(b) else np.zeros((0, 1))
+            yield pd.DataFrame({"cache_key": b["cache_key"], "sentence": b["sentence"], "vector": list(vectors)})
+
+    return kept.mapInPandas(run, "cache_key string, sentence int, vector array<double>")
+
+
+def coverage_stage(rows: DataFrame, cache: DataFrame | None, identity: Sequence[str], source: str, generated: str, embed: Callable[[list[str]], np.ndarray], model: str, thresholds: Sequence[float] = (0.70, 0.75, 0.80)) -> tuple[DataFrame, DataFrame]:
+    """(`rows` with coverage columns, the cache with what is new): what the cache lacks is embedded and computed, the rest is looked up.
+
+    `source` and `generated` are the text columns (see `texts_at` for texts in files).  The key is of `identity`, both texts, the embedder's name and the thresholds,
+    so what changes is computed anew.  A row without one of the texts has nulls.  `embed` turns a batch of sentences into vectors on the workers."""
+    reachable(rows.sparkSession)
+    hashed = [F.sha2(F.encode(F.coalesce(F.col(c), F.lit("")), "UTF-8"), 256) for c in (source, generated)]
+    keyed = rows.withColumn("cache_key", cache_key([*map(F.col, identity), *hashed, F.lit(model), F.lit(",".join(map(str, thresholds)))]))
+
+    def compute(todo: DataFrame) -> DataFrame:
+        todo = todo.select("cache_key", source, generated).dropDuplicates(["cache_key"])
+        measures = text_measures(todo, source, generated).drop(source, generated)
+        return measures.join(sentence_coverage(_embedded(todo, source, embed), _embedded(todo, generated, embed), "cache_key", thresholds), "cache_key", "left")
+
+    if cache is None:
+        new = compute(keyed)
+        return keyed.join(new, "cache_key", "left"), new
+    return incremental(keyed, cache, compute)
+
+
+def texts_at(rows: DataFrame, path: str, text: str) -> DataFrame:
+    """`rows` with the column `text`: the contents of the files that `path` names, null where there is none.  Each file is read once."""
+    spark = rows.sparkSession
+    folders = [r[0] for r in rows.select(F.regexp_replace(path, r"[^/]+$", "").alias("f")).where("f <> ''").distinct().collect()]  # folders, not files
+    if not folders:
+        return rows.withColumn(text, F.lit(None).cast("string"))
+    files = spark.read.format("binaryFile").load(folders).select(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/").alias("__path"), F.decode("content", "UTF-8").alias(text))
+    return rows.join(files, F.regexp_replace(path, r"^[a-z0-9]+:/+", "/") == F.col("__path"), "left").drop("__path")

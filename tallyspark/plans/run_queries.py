@@ -217,3 +217,8 @@ ORACLE_SQL["case_size_loss"] = runs_sql(
     "case_study, threshold, best_model, best_input_strategy, best_prompt_strategy", _CASES, _CASE_CONFIG, f"limits AS (SELECT * FROM ({literal(tradeoff.CASE_THRESHOLDS)}) v(threshold, cap))",
     f"best AS (SELECT threshold, c.* FROM case_config c JOIN limits ON cap IS NULL OR parameters <= cap WHERE mean_NRS IS NOT NULL QUALIFY row_number() OVER (PARTITION BY case_study, threshold ORDER BY {_BEST}) = 1)",
 )
+QUERIES["case_size_loss_pivot"] = of_runs(lambda r: cases.loss_pivot(cases.case_size_loss(cases.case_configurations(r))))
+ORACLE_SQL["case_size_loss_pivot"] = runs_sql(
+    "SELECT case_study, " + ", ".join(f"max(top) - max(mean_NRS) FILTER (WHERE {'true' if cap is None else f'parameters <= {cap}'}) AS \"loss {t}\"" for t, cap in tradeoff.CASE_THRESHOLDS)
+    + " FROM (SELECT *, max(mean_NRS) OVER (PARTITION BY case_study) AS top FROM case_config) GROUP BY case_study",
+    "case_study", _CASES, _CASE_CONFIG)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from html import escape
+from statistics import median
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 WIDTH, HEIGHT, LEFT, LOW, TOP = 720, 420, 70, 90, 30
 COLOURS = ["#4477aa", "#ee6677", "#228833", "#ccbb44", "#66ccee", "#aa3377", "#777777"]
@@ -33,6 +35,27 @@ def _ticks(a: float, b: float, log: bool = False) -> list[float]:
     return [k * step for k in range(math.ceil(a / step), math.floor(b / step) + 1)]
 
 
+#: Areas of the smallest and the largest bubble.
+BUBBLES = (25.0, 220.0)
+
+
+def bubble_sizes(values: Sequence[float | None]) -> list[float]:
+    """Areas by the square root of values, a missing one as the median; equal values lie in the middle, none at all are smallest."""
+    told = sorted(v for v in values if v is not None and math.isfinite(v))
+    if not told:
+        return [BUBBLES[0]] * len(values)
+    root = lambda v: math.sqrt(max(0.0, v if v is not None and math.isfinite(v) else median(told)))
+    roots = [root(v) for v in values]
+    scale = _scale(roots, *BUBBLES)
+    return [scale(r) for r in roots]
+
+
+def leader(df: DataFrame, value: str, label: str) -> str | None:
+    """The label of the largest value, of equal ones the first by name; what a text says of a table."""
+    row = df.where(df[value].isNotNull()).agg(F.min(F.struct(-F.col(value), F.col(label).alias("label"))).alias("m")).first()
+    return row.m.label if row.m else None
+
+
 def bars(df: DataFrame, label: str, value: str, title: str, spread: str | None = None) -> str:
     """A bar for each row, with whiskers of `spread`; null values are left out, an empty table is a placeholder."""
     rows = [r for r in df.limit(MOST).collect() if r[value] is not None]

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import time
 import urllib.error
 import urllib.request
 from dataclasses import dataclass
+from functools import lru_cache
 
 from tallyspark.functions.replies import Reply
 
@@ -61,3 +63,58 @@ def served_models(host: str | None = None, timeout: int = 10) -> list[str]:
     """Names of the models that a server has."""
     with urllib.request.urlopen(f"{base_url(host)}/api/tags", timeout=timeout) as f:  # noqa: S310
         return sorted(m["name"] for m in json.load(f).get("models", []))
+
+
+@dataclass(frozen=True)
+class Hosted:
+    """A model behind a chat-completions endpoint with a key; the key's variable is named, not stored."""
+
+    model: str
+    url: str
+    key_variable: str = "HF_TOKEN"
+    temperature: float = 0.0
+    timeout: int = 900
+
+    def __call__(self, prompt: str, limit: int) -> Reply:
+        ask = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "max_tokens": limit, "temperature": self.temperature}
+        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ.get(self.key_variable, '')}"}
+        try:
+            with urllib.request.urlopen(urllib.request.Request(self.url, json.dumps(ask).encode(), headers), timeout=self.timeout) as f:  # noqa: S310
+                said = json.load(f)["choices"][0]
+            return Reply(without_think(said["message"]["content"] or ""), truncated=said.get("finish_reason") == "length")
+        except (OSError, ValueError, LookupError) as e:
+            return Reply("", f"{type(e).__name__}: {e}")
+
+
+@dataclass(frozen=True)
+class Local:
+    """A model that each worker loads once, if the transformers library is there."""
+
+    model: str
+    temperature: float = 0.0
+
+    def __call__(self, prompt: str, limit: int) -> Reply:
+        try:
+            said = _pipeline(self.model)(prompt, max_new_tokens=limit, do_sample=self.temperature > 0, **({"temperature": self.temperature} if self.temperature else {}), return_full_text=False)
+        except (ImportError, OSError, ValueError) as e:
+            return Reply("", f"{type(e).__name__}: {e}")
+        return Reply(without_think(said[0]["generated_text"]))
+
+
+@lru_cache
+def _pipeline(model: str):
+    from transformers import pipeline  # not part of every installation
+
+    return pipeline("text-generation", model=model)
+
+
+PROVIDERS = {"served": Served, "hosted": Hosted, "local": Local}
+
+
+def provider(kind: str, model: str, **options):
+    """A model of one of the kinds in `PROVIDERS`."""
+    if kind not in PROVIDERS:
+        raise ValueError(f"{kind}: known are {', '.join(PROVIDERS)}")
+    if not 0 <= options.get("temperature", 0) <= 2:
+        raise ValueError("a temperature is between 0 and 2")
+    return PROVIDERS[kind](model, **options)
