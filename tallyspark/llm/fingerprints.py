@@ -93,7 +93,8 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The edited text has its last floor(n/4) code points replaced by the first as many (or all) of the next row's text, in
     ascending id; behind the last row comes the first.  Null ids come first; equal ids go by their
     text.  Returns id, `n_chars`, `edited_text`, `fingerprint`, `edited_fingerprint` (hex), `near_edited`, `near_next`.
-    Null and empty texts are one shingle without words.  A single row is its own next.  Other columns are left behind.
+    Null and empty texts are one shingle without words.  A single row is its own next.  Long texts are fingerprinted whole; an empty
+    table gives an empty one.  Other columns, whatever their names, are left behind.
 
     Rows are dealt into ranges of ids, several for each shuffle partition; the first row of each range is also
     put behind the one before it, so that no row needs another range, and nothing is sorted in one task.

@@ -33,7 +33,8 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     documents counted, and only their positions go back to the texts.
 
     Null and empty texts have one empty line, which stays: the result is ''.  Rows with a null id
-    count as one document.  Repeated rows count once and each get their result.  Any other column
+    count as one document.  Repeated rows count once and each get their result.  A text is one row however long it is: its lines are
+    exploded as hashes and it is cut once more where they are dropped.  An empty table gives an empty one.  Any other column
     is kept; `n_lines` and `n_dropped` replace input columns of those names.
     """
     c = Carried(docs)

@@ -183,13 +183,19 @@ def _runs(found: list[str]) -> Iterator[str]:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+#: Texts that tell a model's settings: white space kept as it is, a mark before the first word, no normal forms, digits, bytes.  Another model is refused.
+PROBES = ["a", " a", "a ", "  a  b ", "a\tb\nc", "A", "\uff21\ufb01", "e\u0301 \u00e9", "12345 1 2", "<s> </s> <unk>", "\u6f22\U0001f600", MARK + "a" + MARK, "\u200b\u00a0x", "http://x.y/z?a=b&c"]
 
 
 def encoder(model: bytes) -> Encoder:
     """One for each model and process."""
     key = hashlib.sha256(model).hexdigest()
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(model)
+        made = Encoder(model)
+        wrong = [t for t in PROBES if made.encode(t)[0] != made.library.encode(t)]
+        if wrong:
+            raise ValueError(f"this model treats texts in a way that is not provided for: {wrong[0]!r}")
+        _ENCODERS[key] = made
     return _ENCODERS[key]
 
 
@@ -205,7 +211,8 @@ def encode_decode(docs: DataFrame, model_file: str, text_col: str = "text", ids:
     `ids_sha256` is of the decimal ids joined by commas, `decoded_sha256` of the decoded text.  Works
     row by row, so nothing is shuffled.  Null and empty texts have no ids and decode to ''.  Texts of
     any length are encoded whole, in time that grows with their length.  Repeated rows each get their
-    result.  The new columns replace input columns of those names.
+    result; an empty table gives an empty one.  The new columns replace input columns of those names, others are kept.
+    A model whose settings are others than those provided for is refused.
     """
     c = Carried(docs)
     model = model_bytes(model_file)

@@ -104,7 +104,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null, empty and blank texts have the fingerprint zero and are linked like any other.  Ids are
     longs; rows with a null id take part and are never the smallest, unless all ids they reach are
-    null: then `component_id` is null.  Repeated rows each get a row.  Other columns are kept;
+    null: then `component_id` is null.  Repeated rows each get a row.  Long texts are counted whole, by pieces of their shingles; an
+    empty table gives an empty one.  At the default radius of two bits near copies are found as far as their fingerprints are that near.  Other columns are kept;
     `fingerprint` and `component_id` replace input columns of those names.
     """
     c = Carried(docs)

@@ -50,3 +50,18 @@ def test_an_empty_corpus(spark, folder, tmp_path_factory):
     assert empty.count() == 0
 
 
+def test_odd_rows(spark, folder):
+    """Null ids, repeated rows, ties, a very long text, and columns whose names clash with those inside."""
+    sf_dir, _ = folder
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 20")
+    long = spark.createDataFrame([(900, "long " * 100_000 + "end", "en", "s", 500_003), (None, "no id", "en", "s", 5), (None, None, None, None, None), (901, None, "en", None, None)], docs.schema)
+    more = docs.union(long).union(docs.where("doc_id < 4")).selectExpr("*", "1 AS score", "'x' AS __text", "2 AS Doc_Id2", "3 AS n_lines", "4 AS fingerprint", "5 AS node")
+    now = more
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, sf_dir)
+        assert now.columns[:5] == COLUMNS and {"__text", "Doc_Id2", "node"} <= set(now.columns)
+        now = spark.createDataFrame(now.collect(), now.schema)
+    ids = [r.doc_id for r in now.collect()]
+    told = [i for i in ids if i is not None]
+    assert 900 in ids and None in ids and len(told) == len(set(told)) and {1, 2, 3} <= set(told)
+    assert corpus_pipeline.STAGES[-1][1](spark, now, sf_dir).count() == len(ids)
