@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 WIDTH, HEIGHT, LEFT, LOW, TOP = 720, 420, 70, 90, 30
 COLOURS = ["#4477aa", "#ee6677", "#228833", "#ccbb44", "#66ccee", "#aa3377", "#777777"]
-#: Rows of a figure.
-MOST = 2_000
+#: Rows of a figure that are drawn one by one, and cells of a grid, by width and height, that stand for more points.
+MOST, GRID = 2_000, (120, 80)
 
 
 def _page(title: str, body: list[str]) -> str:
@@ -57,8 +57,11 @@ def leader(df: DataFrame, value: str, label: str) -> str | None:
 
 
 def bars(df: DataFrame, label: str, value: str, title: str, spread: str | None = None) -> str:
-    """A bar for each row, with whiskers of `spread`; null values are left out, an empty table is a placeholder."""
-    rows = [r for r in df.limit(MOST).collect() if r[value] is not None]
+    """A bar for each row, with whiskers of `spread`; null values are left out, an empty table is a placeholder.  The title tells of bars beyond `MOST`."""
+    told = df.where(df[value].isNotNull())
+    rows = told.limit(MOST).collect()
+    if len(rows) == MOST and (n := told.count()) > MOST:
+        title = f"{title} (first {MOST} of {n})"
     if not rows:
         return _page(title, [f'<text x="{WIDTH / 2}" y="{HEIGHT / 2}" text-anchor="middle">no data</text>'])
     top = max(r[value] + ((r[spread] or 0) if spread else 0) for r in rows)
@@ -77,8 +80,15 @@ def bars(df: DataFrame, label: str, value: str, title: str, spread: str | None =
 
 
 def scatter(df: DataFrame, x: str, y: str, title: str, group: str | None = None, log_x: bool = False) -> str:
-    """A point for each row with both values (on a log axis, positive ones), coloured by group."""
-    rows = [r for r in df.limit(MOST).collect() if r[x] is not None and r[y] is not None and (not log_x or r[x] > 0)]
+    """A point for each row with both values (on a log axis, positive ones), coloured by group; of more than `MOST`, for each cell of a grid and group that has any."""
+    told = df.where(df[x].isNotNull() & df[y].isNotNull() & (df[x] > 0 if log_x else F.lit(True))).select(x, y, *([group] if group else []))
+    rows = told.limit(MOST + 1).collect()
+    if len(rows) > MOST:
+        bounds = told.agg(F.min(x).alias("a"), F.max(x).alias("b"), F.min(y).alias("c"), F.max(y).alias("d")).first()
+        line = (lambda c: F.log10(c)) if log_x else (lambda c: c)
+        cell = lambda v, low, high, n: F.floor((v - low) / F.greatest(high - low, F.lit(1e-12)) * (n - 1))
+        cells = [cell(line(F.col(x)), line(F.lit(bounds.a)), line(F.lit(bounds.b)), GRID[0]).alias("i"), cell(F.col(y), F.lit(bounds.c), F.lit(bounds.d), GRID[1]).alias("j")]
+        rows = told.groupBy(*cells, *([group] if group else [])).agg(F.avg(x).alias(x), F.avg(y).alias(y)).collect()
     if not rows:
         return _page(title, [f'<text x="{WIDTH / 2}" y="{HEIGHT / 2}" text-anchor="middle">no data</text>'])
     xs, ys = [r[x] for r in rows], [r[y] for r in rows]

@@ -98,3 +98,12 @@ def test_run_files(spark, tmp_path):
     assert got[1].benchmark_source_file == "x.csv" and got[2].benchmark_source_file.endswith("a/nrs_runs.csv")
     assert {k: r.case_id for k, r in got.items()} == {1: "0", 2: "1", 3: "0", 4: "1", 5: "0"}
     assert sorted((r.nrs_runs_file.split("/")[-2], r.rows) for r in files.collect()) == [("a", 2), ("b", 2), ("c", 2)]
+
+
+def test_figures_of_many_rows(spark):
+    many = spark.range(1, 5001).selectExpr("id AS x", "id % 100 AS y", "cast(id % 2 AS string) AS g")
+    for log in (False, True):
+        svg = figures.scatter(many, "x", "y", "t", "g", log_x=log)
+        assert 2_000 < svg.count("<circle") <= 5000
+    assert figures.scatter(many.limit(10), "x", "y", "t").count("<circle") == 10
+    assert "first 2000 of 5000" in figures.bars(many, "g", "x", "t")
