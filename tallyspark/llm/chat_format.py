@@ -241,7 +241,7 @@ depths AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, chain OR
 asked AS (SELECT conv_id, turn, length(t) AS n, contains(t, chr(10)) AS many,
     CASE WHEN contains(t, chr(10)) THEN to_json(string_split(t, chr(10)))::VARCHAR ELSE to_json(t)::VARCHAR END AS prompt FROM calls)
 SELECT c.conv_id, c.turn, 'call_' || c.turn AS call_id, d.depth::INTEGER AS depth, r.r IS NOT NULL AS linked,
-  concat_ws(',', CASE WHEN n < {TOLD} THEN 'missing:n_chars' END, CASE WHEN r.r IS NULL THEN 'no result' END, CASE WHEN n_calls > 1 THEN 'repeated id' END,
+  concat_ws(',', CASE WHEN c.n < {TOLD} THEN 'missing:n_chars' END, CASE WHEN r.r IS NULL THEN 'no result' END, CASE WHEN n_calls > 1 THEN 'repeated id' END,
     CASE WHEN r.n > 1 THEN 'several results' END, CASE WHEN many THEN 'type:prompt' END, CASE WHEN c.n > {LONG} THEN 'unexpected:long' END) AS errors,
   '{{' || CASE WHEN c.turn >= 2 THEN '"after":["call_' || (c.turn - 2) || '"],' ELSE '' END
   || '"arguments":{{' || CASE WHEN c.n > {LONG} THEN '"long":true,' ELSE '' END || CASE WHEN c.n >= {TOLD} THEN '"n_chars":' || c.n || ',' ELSE '' END || '"prompt":' || prompt || '}},"id":"call_' || c.turn || '","name":"answer",'
