@@ -15,6 +15,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 RADIUS = 24
 #: Item shingles up to which the items are broadcast (16 bytes each, and the words); beyond, both sides are shuffled.
 BROADCAST_SHINGLES = 500_000
+#: Buckets of ids, of which those with a window are broadcast (8 bytes each).
+BUCKETS = 1 << 20
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:
@@ -89,7 +91,7 @@ def find_passages(
     Items of fewer than `shingle` words are one shingle of all their words; those without words are never found.  Null and empty texts have no
     words; rows with a null id or item are left out; repeated rows give one row.  Empty tables give an empty one.  Only the columns named are
     read, whatever else there is.  Long texts are worked on whole; a window's cost does not depend on its text.
-    Texts are read to find where windows lie, and those with windows once more to cut these out.
+    Texts are read to find where windows lie, and once more to cut these out; only those with windows, and few others, are shuffled.
     """
     c, d = Carried(docs), Carried(items)
     benchmark = d.df.select(d.col(item_col).alias("item"), hashed_words(d.col(item_text_col)).alias("iw")).where("item is not null").distinct()
@@ -107,8 +109,11 @@ def find_passages(
 
     per = where.groupBy("id", "of", "item", "size", "n", "g").agg(F.sort_array(F.collect_set("p")).alias("at"))
     per = per.select("id", "of", "n", F.explode(_starts(F.col("at"), F.col("size"), F.col("n"), F.col("g"), similarity)).alias("start")).distinct()
-    per = per.groupBy("id", "of").agg(F.collect_list(F.struct("n", "start")).alias("found"))
-    whole = rows.select(F.col("id").alias("i"), F.xxhash64("t").alias("o"), "t")
+    per = stored(per.groupBy("id", "of").agg(F.collect_list(F.struct("n", "start")).alias("found")))
+    # Only texts whose bucket of ids has a window are shuffled; the buckets are broadcast, `BUCKETS` numbers at most.
+    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).alias("bucket")
+    hit = per.select(bucket).distinct()
+    whole = rows.select("*", bucket).join(F.broadcast(hit), "bucket", "left_semi").select(F.col("id").alias("i"), F.xxhash64("t").alias("o"), "t")
     cut = per.join(whole, (F.col("id") == F.col("i")) & (F.col("of") == F.col("o")))
     cut = cut.select("id", hashed_words(F.col("t")).alias("w"), "found").select("id", "w", F.explode("found").alias("f")).select("id", "w", "f.n", "f.start")
     cut = cut.select("id", "n", "start", F.slice("w", F.col("start") + 1, F.col("n")).alias("w"))
