@@ -94,9 +94,15 @@ ROWS_EACH = 200_000
 @contextmanager
 def sized(spark: SparkSession, rows: int, least: int = 4):
     """Inside, shuffles have as many partitions as `rows` short rows need: for loops over a table whose size is known."""
-    name = "spark.sql.shuffle.partitions"
+    with setting(spark, "spark.sql.shuffle.partitions", max(least, -(-rows // ROWS_EACH))):
+        yield
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: int):
+    """Inside, a setting of the session has another value."""
     before = spark.conf.get(name)
-    spark.conf.set(name, max(least, -(-rows // ROWS_EACH)))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
