@@ -121,12 +121,33 @@ def stored(df: DataFrame) -> DataFrame:
     joins before it, which in a loop of joins grows until the driver does nothing but multiply.
     """
     path = scratch(df.sparkSession, "table")
+    if _made:
+        _made[-1].append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+#: The tables that each running `settled` has made so far.
+_made: list[list[str]] = []
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` returns as a table in the shared folder; the tables that `stored` wrote on the way to it are deleted."""
+    _made.append([])
+    try:
+        out = stored(make())
+    finally:
+        made = _made.pop()
+    if _made:
+        _made[-1].append(out.stored_at)
+    for path in made:
+        if path != out.stored_at:
+            _delete(out.sparkSession, path)
+    return out
+
+
 def forget(df: DataFrame) -> None:
     """Deletes a table of `stored` that no later step reads."""
     _delete(df.sparkSession, df.stored_at)
