@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bottom_k, chat_format, decontamination, fingerprints, license_scan, line_dedup, lm_scoring, secret_scan, sentencepiece_bpe, simhash_dedup, toxicity
+from . import bottom_k, chat_format, decontamination, filter_audit, fingerprints, license_scan, line_dedup, lm_scoring, secret_scan, sentencepiece_bpe, simhash_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_chat_format": chat_format.op10_chat_format,
     "op11_minhash_near_dedup": bottom_k.op11_minhash_near_dedup,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
-ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE, "op6_secret_scan": secret_scan.ORACLE, "op10_chat_format": chat_format.ORACLE}
+ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE, "op6_secret_scan": secret_scan.ORACLE, "op10_chat_format": chat_format.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
