@@ -99,7 +99,7 @@ def sized(spark: SparkSession, rows: int, least: int = 4):
 
 
 @contextmanager
-def setting(spark: SparkSession, name: str, value: int):
+def setting(spark: SparkSession, name: str, value: int | str):
     """Inside, a setting of the session has another value."""
     before = spark.conf.get(name)
     spark.conf.set(name, value)
@@ -114,6 +114,10 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{_shared(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+#: With this setting the shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """`df` as a table in the shared folder, its lineage cut; a lost executor takes nothing of it along.
 
@@ -123,7 +127,8 @@ def stored(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "table")
     if _made:
         _made[-1].append(path)
-    df.write.parquet(path)
+    with setting(df.sparkSession, CLEANUP, "true"):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

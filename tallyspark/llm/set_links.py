@@ -27,9 +27,8 @@ from .components import connected_components
 K, MISS = 64, 1e-7
 #: Rows of one node are dealt over so many tasks.
 SALT = 16
-#: Nodes of a list that all its others are held against in the first round, and in later ones; rounds at most; comparisons for each row of the long lists
-#: that the rest may take without a further round.
-PIVOTS, MORE_PIVOTS, ROUNDS, REST = 2, 16, 3, 16
+#: Nodes of a list's largest component that those outside it are held against in a round; rounds; comparisons of a task of what is left.
+PIVOTS, ROUNDS, WORK = 8, 2, 200_000
 #: Rows and bytes that go to Python at a time; a longer text goes alone.
 BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 #: Buckets, by bits of a retained value, in which values are counted; blocks in which the counts travel.
@@ -230,29 +229,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(_of_similarity(F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set"), similarity)).select("a", "b")
 
 
-def linked(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, radius: int | None = None, k: int = K, long_list: int = 64) -> DataFrame:
+def linked(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, radius: int | None = None, k: int = K, long_list: int = 32) -> DataFrame:
     """Edges (a, b) between the rows (`node`, `n`, `sketch`, `head`, `fp`) that connect all whose sets have the similarity.
 
     `sets` looks up the (`node`, `set`) of a column `node`, which are few.
-    An inverted list has the nodes with one retained value in their `head`.  All nodes of a list are first held against `PIVOTS` of them, the first by a hash of the
-    node; so lists of the same nodes have the same pivots, and a group of copies becomes a star.  Lists that are one component then are done with.
-    Lists of over `long_list` nodes take up to `ROUNDS` rounds of that, with more and other pivots.  Of what is left, the nodes
-    outside a list's largest component are held against all nodes of other components.  So pairs are left out only where both are connected already.
-    Pairs are not compared whose sizes, places in the head or estimate (see `estimated`) rule the similarity out: of two sketches
-    that have the first common value at places i and j, no more than min(m - i, n - j) values are shared.  With a
+    An inverted list has the nodes with one retained value in their `head`.  All nodes of a list are first held against its pivot, the first by a hash;
+    so lists of the same nodes have the same pivot, and a group of copies becomes a star.  Lists that are one component then are done with;
+    so pairs are left out only where both are connected already.  In the others of up to `long_list` nodes each is held against all of other components.
+    The longer ones are merged by their pivot, whose sketch bounds how many, so that two nodes meet once and not in each of the lists that they share.  For `ROUNDS`
+    rounds the nodes outside the largest component are held against `PIVOTS` of that component; what still is outside is held against all
+    others, in a join that tests the whole sets as its condition, dealt over tasks by its work: so no row is made of a pair that isn't similar.  Elements
+    that no other of these sets has rule most of that out.
+    Pairs are not compared whose sizes or estimate (see `estimated`) rule the similarity out; with a
     `radius`, nor are pairs whose `fp` differ in more bits.
     """
-    kept = F.least(F.col("n"), F.lit(k))
-    need = F.when(F.col("n") <= F.lit(k * similarity), F.ceil(F.col("n") * similarity - 1e-9)).otherwise(F.lit(least_sampled(k, similarity)))
-    posts = nodes.where("n > 0").select("node", "fp", "n", need.cast("int").alias("need"), kept.cast("int").alias("kept"), F.posexplode("head").alias("p", "h"))
-    posts = posts.select("h", "node", "fp", "n", "need", (F.col("kept") - F.col("p")).alias("rest"))
+    posts = nodes.where("n > 0").select("node", "fp", "n", F.explode("head").alias("h"))
     sizes = posts.groupBy("h").agg(F.count("*").alias("many")).where("many > 1")
     index = stored(posts.join(sizes, "h"))
-    may = (F.least("a.rest", "b.rest") >= F.greatest("a.need", "b.need")) & (F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n") - F.lit(1e-9))
+    may = F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n") - F.lit(1e-9)
     if radius is not None:
         may = may & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius)
-    same, ends = F.col("a.h") == F.col("b.h"), [F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")]
-    differ = F.col("a.c") != F.col("b.c")
+    same, differ, other = F.col("a.h") == F.col("b.h"), F.col("a.c") != F.col("b.c"), F.col("a.node") != F.col("b.node")
+    once = (F.col("b.c") == F.col("a.lead")) | (F.col("a.node") < F.col("b.node"))
+    ends = [F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")]
 
     def similar(pairs: DataFrame) -> DataFrame:
         likely = stored(estimated(pairs.distinct(), nodes, similarity, k))
@@ -263,31 +262,51 @@ def linked(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity:
         forget(found)
         return out
 
-    def against_pivots(rows: DataFrame, turn: int) -> DataFrame:
-        order = F.xxhash64("node", F.lit(turn)) if not turn else F.xxhash64("node", "h", F.lit(turn))
-        fields = [c for c in rows.columns if c not in ("h", "many")]
-        pivots = rows.groupBy("h", F.pmod(order, F.lit(MORE_PIVOTS if turn else PIVOTS)).alias("salt")).agg(F.min(F.struct(order.alias("o"), *fields)).alias("m")).select("h", "m.*")
-        other = F.col("a.node") != F.col("b.node")
-        return pivots.alias("a").join(rows.alias("b"), same & may & (differ if turn else other)).select(*ends)
-
-    edges = similar(against_pivots(index, 0))
-    left = index
+    firsts = pivots(index, 0, 1)
+    edges = similar(firsts.alias("a").join(index.alias("b"), same & may & other).select(*ends))
+    left = apart(index, edges)
+    long = left.where(F.col("many") > long_list).select("h", "node", "fp", "n")
+    merged = stored(long.join(firsts.select("h", F.col("node").alias("p")), "h").select(F.col("p").alias("h"), "node", "fp", "n").distinct())
+    crowds = apart(merged, edges)
     for turn in range(1, ROUNDS + 1):
-        found = connected_components(edges).select(F.col("node").alias("of"), "component")
-        placed = left.drop("c", "lead").join(found, F.col("node") == F.col("of"), "left").withColumn("c", F.coalesce("component", "node")).drop("of", "component")
-        lead = placed.groupBy("h", "c").count().groupBy("h").agg(F.max_by("c", F.struct("count", "c")).alias("lead"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-        done, left = left, stored(placed.join(lead, "h"))
-        forget(done)
-        long = F.col("many") > long_list
-        work, rows = left.agg(F.sum(F.when(long & (F.col("c") != F.col("lead")), F.col("many"))), F.count_if(long)).first()
-        if turn == ROUNDS or (work or 0) <= REST * rows:
-            break
-        more = similar(against_pivots(left.where(long).drop("lead"), turn))
+        more = similar(pivots(crowds.where("c = lead"), turn, PIVOTS).alias("a").join(crowds.where("c <> lead").alias("b"), same & may).select(*ends))
         if more.isEmpty():
             break
         edges = stored(edges.union(more))
-    apart, once = left.where("c <> lead"), (F.col("b.c") == F.col("a.lead")) | (F.col("a.node") < F.col("b.node"))
-    return edges.union(similar(apart.alias("a").join(left.alias("b"), same & may & differ & once).select(*ends)))
+        crowds = apart(merged, edges)
+    short = left.where(F.col("many") <= long_list)
+    close = similar(short.where("c <> lead").alias("a").join(short.alias("b"), same & may & differ & once).select(*ends))
+    found = stored(sets(crowds.select("node").distinct()))
+    held = crowds.join(with_most(found), "node").where(F.col("most") >= F.lit(similarity) * F.col("n") - F.lit(1e-9))
+    tasks = F.ceil(F.count_if(F.col("c") != F.col("lead")) * F.count("*") / WORK).cast("int").alias("tasks")
+    held = held.join(held.groupBy("h").agg(tasks).where("tasks > 0"), "h").join(found, "node")
+    one = held.where("c <> lead").withColumn("task", F.pmod(F.hash("node"), F.col("tasks")))
+    all_ = held.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    enough = F.least("a.most", "b.most") >= F.lit(similarity / (1 + similarity)) * (F.col("a.n") + F.col("b.n")) - F.lit(1e-9)
+    met = _of_similarity(F.size(F.array_intersect("a.set", "b.set")), F.col("a.n") + F.col("b.n"), similarity)
+    crowded = all_.alias("b").join(one.alias("a"), same & (F.col("a.task") == F.col("b.task")) & differ & once & may & enough & met).select(*ends)
+    return edges.union(close).union(crowded)
+
+
+def with_most(sets: DataFrame) -> DataFrame:
+    """(`node`, `most`): how many elements of a set any other of the `sets` has, the most that it can share with one."""
+    each = sets.select("node", F.explode("set").alias("v"))
+    common = each.groupBy("v").agg(F.count("*").alias("times")).where("times > 1").select("v")
+    return each.join(common, "v", "left_semi").groupBy("node").agg(F.count("*").alias("most"))
+
+
+def pivots(rows: DataFrame, turn: int, each: int) -> DataFrame:
+    """Up to `each` of the `rows` of every list `h`, by a hash: lists of the same nodes have the same."""
+    order = F.xxhash64("node", F.lit(turn))
+    return rows.groupBy("h", F.pmod(order, F.lit(each)).alias("nth")).agg(F.min(F.struct(order.alias("o"), "node", "fp", "n")).alias("m")).select("h", "m.*").drop("o")
+
+
+def apart(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """The `rows` of lists `h` that are not one component, with their component `c` and the list's largest, `lead`."""
+    found = connected_components(edges).select(F.col("node").alias("of"), "component")
+    placed = rows.join(found, F.col("node") == F.col("of"), "left").withColumn("c", F.coalesce("component", "node")).drop("of", "component")
+    lead = placed.groupBy("h", "c").count().groupBy("h").agg(F.max_by("c", F.struct("count", "c")).alias("lead"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+    return stored(placed.join(lead, "h"))
 
 
 def groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
