@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bottom_k, chat_format, decontamination, filter_audit, fingerprints, license_scan, line_dedup, lm_scoring, secret_scan, sentencepiece_bpe, simhash_dedup, toxicity
+from . import bottom_k, chat_format, decontamination, filter_audit, fingerprints, license_scan, line_dedup, lm_scoring, secret_scan, sentencepiece_bpe, simhash_dedup, toxicity, turn_repair
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_chat_format": chat_format.op10_chat_format,
     "op11_minhash_near_dedup": bottom_k.op11_minhash_near_dedup,
+    "op12_turn_repair": turn_repair.op12_turn_repair,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
