@@ -32,7 +32,7 @@ PIVOTS, ROUNDS, WORK = 8, 2, 200_000
 #: Rows and bytes that go to Python at a time; a longer text goes alone.
 BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 #: Buckets, by bits of a retained value, in which values are counted; blocks in which the counts travel.
-BUCKET_BITS, BLOCKS = 20, 64
+BUCKET_BITS, BLOCKS = 22, 64
 #: Ids whose texts are looked up by a broadcast, up to this many (8 bytes each).
 BROADCAST_IDS = 1_000_000
 SEED = 0
@@ -138,7 +138,7 @@ def _bucket(found: np.ndarray) -> np.ndarray:
 
 
 def bucket_levels(sketched: DataFrame) -> np.ndarray:
-    """log2 of the number of retained values (column `sketch`) in each bucket: 1 MB whatever the input.
+    """log2 of the number of retained values (column `sketch`) in each bucket: 4 MB whatever the input.
 
     The levels order values, those of seldom buckets first.  Any order that is the same for all texts gives the same
     links; this one keeps what many texts share out of their heads.
@@ -148,11 +148,12 @@ def bucket_levels(sketched: DataFrame) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << BUCKET_BITS, np.int32)
         for b in batches:
-            n += np.bincount(_bucket(b.column(0).flatten().to_numpy()), minlength=len(n)).astype(np.int32)
+            np.add.at(n, _bucket(b.column(0).flatten().to_numpy()), 1)
+        n = np.minimum(n, 255).astype(np.uint8)  # a byte is enough for an order
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in n.reshape(BLOCKS, width)], pa.binary())], names=["block", "n"])
 
     def added(part: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in part["n"])
+        total = sum(np.frombuffer(x, np.uint8).astype(np.int32) for x in part["n"])
         return pd.DataFrame({"block": part["block"].iloc[:1], "n": [np.log2(total + 1).astype(np.uint8).tobytes()]})
 
     rows = sketched.select("sketch").mapInArrow(counted, "block int, n binary").groupBy("block").applyInPandas(added, "block int, n binary").collect()
@@ -234,7 +235,7 @@ def linked(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity:
 
     `sets` looks up the (`node`, `set`) of a column `node`, which are few.
     An inverted list has the nodes with one retained value in their `head`.  All nodes of a list are first held against its pivot, the first by a hash;
-    so lists of the same nodes have the same pivot, and a group of copies becomes a star.  Lists that are one component then are done with;
+    so lists of the same nodes have the same pivot, and a group of copies becomes a star.  Lists that are one component then are done with, as are those of two nodes;
     so pairs are left out only where both are connected already.  In the others of up to `long_list` nodes each is held against all of other components.
     The longer ones are merged by their pivot, whose sketch bounds how many, so that two nodes meet once and not in each of the lists that they share.  For `ROUNDS`
     rounds the nodes outside the largest component are held against `PIVOTS` of that component; what still is outside is held against all
@@ -264,7 +265,7 @@ def linked(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity:
 
     firsts = pivots(index, 0, 1)
     edges = similar(firsts.alias("a").join(index.alias("b"), same & may & other).select(*ends))
-    left = apart(index, edges)
+    left = apart(index.where("many > 2"), edges)
     long = left.where(F.col("many") > long_list).select("h", "node", "fp", "n")
     merged = stored(long.join(firsts.select("h", F.col("node").alias("p")), "h").select(F.col("p").alias("h"), "node", "fp", "n").distinct())
     crowds = apart(merged, edges)
