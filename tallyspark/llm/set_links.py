@@ -28,7 +28,7 @@ K, MISS = 64, 1e-7
 #: Rows of one node are dealt over so many tasks.
 SALT = 16
 #: Nodes of a list's largest component that those outside it are held against in a round; rounds; comparisons of a task of what is left.
-PIVOTS, ROUNDS, WORK = 8, 2, 200_000
+PIVOTS, ROUNDS, WORK = 8, 1, 1_000_000
 #: Rows and bytes that go to Python at a time; a longer text goes alone.
 BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 #: Buckets, by bits of a retained value, in which values are counted; blocks in which the counts travel.
@@ -257,30 +257,31 @@ def linked(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity:
     def similar(pairs: DataFrame) -> DataFrame:
         likely = stored(estimated(pairs.distinct(), nodes, similarity, k))
         doubt = likely.where("not sure").select("a", "b")
-        found = stored(sets(doubt.select(F.col("a").alias("node")).union(doubt.select("b")).distinct()))
-        out = stored(confirmed(doubt, found, similarity).union(likely.where("sure").select("a", "b")))
+        texts = stored(sets(doubt.select(F.col("a").alias("node")).union(doubt.select("b")).distinct()))
+        out = stored(confirmed(doubt, texts, similarity).union(likely.where("sure").select("a", "b")))
         forget(likely)
-        forget(found)
+        forget(texts)
         return out
 
     firsts = pivots(index, 0, 1)
     edges = similar(firsts.alias("a").join(index.alias("b"), same & may & other).select(*ends))
-    left = apart(index.where("many > 2"), edges)
+    found = components(edges)
+    left = apart(index.where("many > 2"), found)
     long = left.where(F.col("many") > long_list).select("h", "node", "fp", "n")
     merged = stored(long.join(firsts.select("h", F.col("node").alias("p")), "h").select(F.col("p").alias("h"), "node", "fp", "n").distinct())
-    crowds = apart(merged, edges)
+    crowds = apart(merged, found)
     for turn in range(1, ROUNDS + 1):
         more = similar(pivots(crowds.where("c = lead"), turn, PIVOTS).alias("a").join(crowds.where("c <> lead").alias("b"), same & may).select(*ends))
         if more.isEmpty():
             break
         edges = stored(edges.union(more))
-        crowds = apart(merged, edges)
+        crowds = apart(merged, components(edges))
     short = left.where(F.col("many") <= long_list)
     close = similar(short.where("c <> lead").alias("a").join(short.alias("b"), same & may & differ & once).select(*ends))
-    found = stored(sets(crowds.select("node").distinct()))
-    held = crowds.join(with_most(found), "node").where(F.col("most") >= F.lit(similarity) * F.col("n") - F.lit(1e-9))
+    whole = stored(sets(crowds.select("node").distinct()))
+    held = crowds.join(with_most(whole), "node").where(F.col("most") >= F.lit(similarity) * F.col("n") - F.lit(1e-9))
     tasks = F.ceil(F.count_if(F.col("c") != F.col("lead")) * F.count("*") / WORK).cast("int").alias("tasks")
-    held = held.join(held.groupBy("h").agg(tasks).where("tasks > 0"), "h").join(found, "node")
+    held = held.join(held.groupBy("h").agg(tasks).where("tasks > 0"), "h").join(whole, "node")
     one = held.where("c <> lead").withColumn("task", F.pmod(F.hash("node"), F.col("tasks")))
     all_ = held.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
     enough = F.least("a.most", "b.most") >= F.lit(similarity / (1 + similarity)) * (F.col("a.n") + F.col("b.n")) - F.lit(1e-9)
@@ -302,9 +303,12 @@ def pivots(rows: DataFrame, turn: int, each: int) -> DataFrame:
     return rows.groupBy("h", F.pmod(order, F.lit(each)).alias("nth")).agg(F.min(F.struct(order.alias("o"), "node", "fp", "n")).alias("m")).select("h", "m.*").drop("o")
 
 
-def apart(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """The `rows` of lists `h` that are not one component, with their component `c` and the list's largest, `lead`."""
-    found = connected_components(edges).select(F.col("node").alias("of"), "component")
+def components(edges: DataFrame) -> DataFrame:
+    return stored(connected_components(edges).select(F.col("node").alias("of"), "component"))
+
+
+def apart(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The `rows` of lists `h` that are not one of the components `found`, with their component `c` and the list's largest, `lead`."""
     placed = rows.join(found, F.col("node") == F.col("of"), "left").withColumn("c", F.coalesce("component", "node")).drop("of", "component")
     lead = placed.groupBy("h", "c").count().groupBy("h").agg(F.max_by("c", F.struct("count", "c")).alias("lead"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
     return stored(placed.join(lead, "h"))
