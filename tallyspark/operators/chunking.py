@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.session import reachable
@@ -41,18 +41,41 @@ _GAP, _INK = r"[\s\x1c-\x1f]", r"[^\s\x1c-\x1f]"
 def _matched(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     """(`key`, `position` from 1, `start`, `end`, `text`) of all matches of a pattern.
 
-    What lies between the matches comes from splitting at them, so places are running sums of lengths: all of it is expressions.
+    What lies between the matches comes from splitting at them, so places are running sums of lengths: all of it is expressions.  The sums are
+    made before the matches become rows, which carry no array along.
     """
     pattern = f"(?sU){pattern}"
     found = F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.slice(F.split("t", pattern, -1), F.lit(1), F.size("found")), F.length)
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").select("k", "t", found.alias("found"))
-    rows = rows.select("k", "found", F.zip_with(gaps, F.transform("found", F.length), lambda g, n: F.struct(g.alias("g"), n.alias("n"))).alias("sizes"))
-    total = lambda i: F.aggregate(F.slice("sizes", F.lit(1), i), F.lit(0), lambda acc, x: acc + x["g"] + x["n"])
-    placed = rows.select("k", "sizes", F.posexplode("found").alias("i", "text")).withColumn("end", total(F.col("i") + 1))
+    gaps = F.transform(F.slice(F.split("t", pattern, -1), F.lit(1), F.size("found")), F.length)
+    rows = rows.select("k", "found", running(F.zip_with(gaps, F.transform("found", F.length), lambda g, n: g + n)).alias("ends"))
+    placed = rows.select("k", F.posexplode(F.arrays_zip("found", "ends")).alias("i", "x")).select("k", "i", F.col("x.found").alias("text"), F.col("x.ends").alias("end"))
     return placed.select(F.col("k").alias(key), (F.col("i") + 1).alias("position"), (F.col("end") - F.length("text")).alias("start"), "end", "text")
 
 
+def running(numbers: Column, block: int = 128) -> Column:
+    """The running sums of an array of integers.  An array grows by copying, so sums are made within blocks, and those of the blocks' totals are added:
+    n * (block + n / block ** 2) steps or so, not n * n."""
+
+    def sums(part: Column) -> Column:
+        start = F.struct(F.array().cast("array<int>").alias("all"), F.lit(0).alias("now"))
+        added = lambda acc, x: F.struct(F.concat(acc["all"], F.array(acc["now"] + x)).alias("all"), (acc["now"] + x).alias("now"))
+        return F.aggregate(part, start, added, lambda acc: acc["all"])
+
+    def whole(of: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(of) - 1) / block).cast("int"))
+        parts = F.transform(starts, lambda b: sums(F.slice(of, b * block + 1, F.lit(block))))
+        return F.get(F.transform(F.array(parts), shifted), F.lit(0))
+
+    def shifted(parts: Column) -> Column:
+        ends = sums(F.transform(parts, lambda p: F.element_at(p, -1)))
+        before = F.concat(F.array(F.lit(0)), ends)
+        return F.flatten(F.get(F.transform(F.array(before), lambda of: F.transform(parts, lambda p, b: F.transform(p, lambda x: x + F.get(of, b)))), F.lit(0)))
+
+    once = F.get(F.transform(F.array(numbers), lambda of: F.when(F.size(of) > 0, whole(of)).otherwise(F.array().cast("array<int>"))), F.lit(0))
+    return once
+
+
 def exploded(df: DataFrame, key: str, text: str, cut: Callable[[str], Iterator[tuple[int, int, str]]]) -> DataFrame:
     """(`key`, `position` from 1, `start`, `end`, `text`) for what `cut` makes of each text; null texts make nothing.
 

@@ -33,22 +33,76 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
-def sentence_coverage(source: DataFrame, generated: DataFrame, key: str, thresholds: Sequence[float] = (0.70, 0.75, 0.80)) -> DataFrame:
+#: Pairs of sentences of a key beyond which they meet in blocks; sentences of a side in a block.
+PAIRS, BLOCK = 1_000_000, 2048
+
+
+def _in_blocks(a: DataFrame, b: DataFrame, heavy: DataFrame, key: str, block: int) -> DataFrame:
+    """(key, x, best): of the `heavy` keys (`k`, `na`, `nb`), each block of one side is multiplied with each of the other, and gives its maxima alone."""
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    kind = a.schema[key].dataType.simpleString()
+
+    def dealt(df: DataFrame, of_source: bool) -> DataFrame:
+        n, v, own, other, mine, theirs = ("s", "u", "i", "j", "na", "nb") if of_source else ("g", "v", "j", "i", "nb", "na")
+        by = F.col(key) if of_source else F.col("__k")
+        rows = df.select(by.alias("of"), F.col(n).cast("long").alias("n"), F.col(v).alias("v")).join(heavy, F.col("of") == F.col("heavy"))
+        rows = rows.withColumn(own, F.pmod(F.xxhash64("n"), blocks(mine)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), blocks(theirs) - 1)))
+        return rows.select("of", "i", "j", F.lit(of_source).alias("of_source"), "n", "v")
+
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        sides = {of: part[part["of_source"] == of] for of in (True, False)}
+        if any(x.empty for x in sides.values()):
+            return pd.DataFrame(columns=["of", "of_source", "n", "best"])
+        one, two = (np.vstack(sides[of]["v"].to_numpy()) for of in (True, False))
+        met = one @ two.T
+        found = [pd.DataFrame({"of": part["of"].iloc[0], "of_source": of, "n": sides[of]["n"].to_numpy(), "best": met.max(axis=axis)}) for of, axis in ((True, 1), (False, 0))]
+        return pd.concat(found)
+
+    reachable(a.sparkSession)
+    out = dealt(a, True).union(dealt(b, False)).groupBy("of", "i", "j").applyInPandas(best, f"of {kind}, of_source boolean, n long, best double")
+    return out.select(F.col("of").alias(key), F.struct("of_source", "n").alias("x"), "best")
+
+
+def sentence_coverage(source: DataFrame, generated: DataFrame, key: str, thresholds: Sequence[float] = (0.70, 0.75, 0.80), pairs: int = PAIRS, block: int = BLOCK) -> DataFrame:
     """For each key the part of source sentences with a generated one at least so similar, and the other way round.
 
     Both sides have the key, `sentence` (a number) and `vector`.  Sentences meet within their key alone; vectors are normalised before they meet.
-    Keys without sentences on one side are left out.
+    Keys without sentences on one side are left out.  Keys of over `pairs` pairs meet in blocks of `block` sentences, as products of matrices, so no
+    row is made of a pair and no task holds more than two blocks; the others meet in a join.
     """
     a = source.select(key, F.col("sentence").alias("s"), unit(F.col("vector")).alias("u"))
-    b = generated.select(F.col(key).alias("k"), F.col("sentence").alias("g"), unit(F.col("vector")).alias("v"))
-    met = a.join(b, F.col(key) == F.col("k")).select(key, "s", "g", _dot(F.col("u"), F.col("v")).alias("sim"))
-    sides = F.explode(F.array(F.struct(F.lit(True).alias("of_source"), F.col("s").alias("n")), F.struct(F.lit(False).alias("of_source"), F.col("g").alias("n")))).alias("x")
-    best = met.select(key, "sim", sides).groupBy(key, "x").agg(F.max("sim").alias("best"))
+    b = generated.select(F.col(key).alias("__k"), F.col("sentence").alias("g"), unit(F.col("vector")).alias("v"))
+    count = lambda df, by, n: df.groupBy(F.col(by).alias(f"of_{n}")).agg(F.count("*").alias(n))
+    heavy = count(source, key, "na").join(count(generated, key, "nb"), F.col("of_na") == F.col("of_nb")).where(F.col("na") * F.col("nb") > pairs).select(F.col("of_na").alias("heavy"), "na", "nb")
+    light = a.join(heavy.select("heavy"), F.col(key) == F.col("heavy"), "left_anti")
+    met = light.join(b, F.col(key) == F.col("__k")).select(key, "s", "g", _dot(F.col("u"), F.col("v")).alias("sim"))
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("of_source"), F.col("s").cast("long").alias("n")), F.struct(F.lit(False).alias("of_source"), F.col("g").cast("long").alias("n")))).alias("x")
+    each = met.select(key, "sim", sides).groupBy(key, "x").agg(F.max("sim").alias("best"))
+    best = each.unionByName(_in_blocks(a, b, heavy, key, block)).groupBy(key, "x").agg(F.max("best").alias("best"))
     part = lambda of, t: F.avg(F.when(F.col("x.of_source") == of, (F.col("best") >= t).cast("double")))
     names = [("source_coverage", True), ("generation_support", False)]
     return best.groupBy(key).agg(*[part(of, t).alias(f"{name}_{suffix(t)}") for name, of in names for t in thresholds])
 
 
+def keyphrases(df: DataFrame, key: str, text: str, top: int = 5, least: int = 4) -> DataFrame:
+    """(`key`, `phrase`, `score`, `place`): the `top` phrases of each text, by the graph of the words that stand together in it.
+
+    A phrase is a run of words of `least` letters or more that no shorter word and no mark parts; A-Z and other letters are lower-cased.  In the graph of a text's
+    phrases a word has as its degree the number of words in the phrases that it stands in, itself included, over the number of
+    times that it stands there; a phrase scores the sum of its words' degrees.  Ties go by the phrase.  All is counts by (key, word) and
+    (key, phrase), so no text is gathered.  Keys are those of one text each; a null key, or a text without phrases, gives no row.
+    """
+    parts = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+|[^\p{L}\s]"), F.lit(0))
+    apart = F.transform(parts, lambda w: F.when((F.length(w) >= least) & w.rlike(r"^\p{L}"), w).otherwise("|"))
+    found = F.filter(F.transform(F.split(F.array_join(apart, " "), r"\|"), lambda p: F.trim(p)), lambda p: p != "")
+    phrases = df.select(F.col(key).alias("k"), F.explode(found).alias("phrase")).where("k is not null").groupBy("k", "phrase").agg(F.count("*").alias("times"))
+    words = phrases.select("k", "phrase", "times", F.split("phrase", " ").alias("all")).select("k", "phrase", "times", F.size("all").alias("size"), F.explode("all").alias("word"))
+    degree = words.groupBy("k", "word").agg((F.sum(F.col("times") * F.col("size")) / F.sum("times")).alias("degree"))
+    scored = words.select("k", "phrase", "word").join(degree, ["k", "word"]).groupBy("k", "phrase").agg(F.round(F.sum("degree"), 6).alias("score"))
+    place = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("score"), "phrase"))
+    return scored.withColumn("place", place.cast("long")).where(F.col("place") <= top).select(F.col("k").alias(key), "phrase", "score", "place")
+
+
 def text_measures(df: DataFrame, source: str, generated: str) -> DataFrame:
     """`df` with word and sentence counts of both texts and their ratio; a missing text gives nulls, not zeros."""
     a, b = F.col(source), F.col(generated)

@@ -145,6 +145,16 @@ QUERIES["paragraph_explode"] = of_tables(lambda s, d: _docs(s, d).select("doc_id
 _PARS = rf"list_filter(list_transform(string_split_regex(replace(text, '.' || chr(10), '.' || chr(10) || ' ' || chr(10)), '\n\s*\n'), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> '')"
 ORACLE_SQL["paragraph_explode"] = f"SELECT doc_id, generate_subscripts({_PARS}, 1) - 1 AS position, md5(unnest({_PARS})) AS digest FROM documents"
 
+QUERIES["keyphrases"] = of_tables(lambda s, d: coverage.keyphrases(_docs(s, d), "doc_id", "text"))
+ORACLE_SQL["keyphrases"] = r"""WITH runs AS (
+  SELECT doc_id, unnest(list_filter(list_transform(string_split(array_to_string(list_transform(regexp_extract_all(lower(text), '\p{L}+|[^\p{L}\s]'),
+    lambda w: CASE WHEN length(w) >= 4 AND regexp_matches(w, '^\p{L}') THEN w ELSE '|' END), ' '), '|'), lambda p: trim(p)), lambda p: p <> '')) AS phrase FROM documents
+), phrases AS (SELECT doc_id, phrase, count(*) AS times, string_split(phrase, ' ') AS w FROM runs GROUP BY ALL),
+words AS (SELECT doc_id, phrase, times, len(w) AS size, unnest(w) AS word FROM phrases),
+degrees AS (SELECT doc_id, word, sum(times * size)::DOUBLE / sum(times) AS degree FROM words GROUP BY ALL),
+scored AS (SELECT doc_id, phrase, round(sum(degree), 6) AS score FROM words JOIN degrees USING (doc_id, word) GROUP BY ALL)
+SELECT doc_id, phrase, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, phrase) AS place FROM scored QUALIFY place <= 5"""
+
 
 def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks packed by theme, in order."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from pathlib import Path
 
@@ -59,12 +60,18 @@ def folder_strategy(path: Column) -> Column:
     return F.coalesce(named(1), named(2))
 
 
-def headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """The files by their first line, read in one job."""
-    first = F.element_at(F.split(F.decode(F.substring("content", 1, 1 << 16), "UTF-8"), r"\r?\n"), 1)
+def headers(spark: SparkSession, paths: list[str], at_once: int = 16) -> dict[str, list[str]]:
+    """The files by their first line.
+
+    A file's first line is taken by Spark's own reader, which stops behind it: a file costs one small task, however large it is, in any
+    store.  `at_once` files are looked at together."""
+    # a line's end is \n, \r or \r\n for the reader
+    line = lambda path: spark.read.text(path).limit(1).collect()
+    with ThreadPoolExecutor(at_once) as pool:
+        heads = [rows[0].value.removeprefix("\ufeff") if rows else "" for rows in pool.map(line, paths)]
     out: dict[str, list[str]] = {}
-    for r in spark.read.format("binaryFile").load(paths).select("path", F.ltrim(first, F.lit("\ufeff")).alias("head")).orderBy("path").collect():
-        out.setdefault(r.head, []).append(r.path)
+    for head, path in sorted(zip(heads, paths, strict=True), key=lambda x: x[1]):
+        out.setdefault(head, []).append(path)
     return out
 
 
