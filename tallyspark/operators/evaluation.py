@@ -98,3 +98,18 @@ def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 def faithfulness(verdicts: DataFrame, by: str) -> DataFrame:
     """The part of statements with a verdict of 1."""
     return verdicts.groupBy(by).agg(F.avg(F.col("verdict").cast("double")).alias("faithfulness"), F.count("*").alias("statements"))
+
+
+def binding(annotations: DataFrame, narratives: DataFrame, by: str) -> DataFrame:
+    """`annotations` with `problem`: why one does not hold, null if it does.
+
+    An annotation names its narrative, the hashes of the narrative's text and of the corpus it was made on, the annotator and the time.  `narratives` has one row
+    per `by` with `text` and `corpus_sha256`.  A hash that is missing on either side belongs to another text; blank fields are as good as none."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).rlike(r"(?U)^\s*$")
+    other = lambda a, b: ~F.coalesce(F.lower(a) == b, F.lit(False))
+    own = narratives.select(F.col(by).alias("_by"), F.sha2("text", 256).alias("_text"), F.lower("corpus_sha256").alias("_corpus"))
+    problem = (
+        F.when(F.col("_by").isNull(), "unknown narrative").when(other(F.col("narrative_sha256"), F.col("_text")), "another narrative")
+        .when(other(F.col("corpus_sha256"), F.col("_corpus")), "another corpus").when(blank("annotator") | blank("annotated_at"), "annotator or time missing")
+    )
+    return annotations.join(own, F.col(by) == F.col("_by"), "left").select(*annotations.columns, problem.alias("problem"))
