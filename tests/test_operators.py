@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.replies import Reply
 from tallyspark.operators import chunking, coverage, evaluation, generation
+from tallyspark.plans import adapter
 from tallyspark.plans.analysis import run_analysis
 from tallyspark.sources import documents, runs, sinks
 from tallyspark.streaming import runs as streaming
@@ -176,3 +177,17 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 1
+
+
+def test_runs_are_dealt_by_supplier(spark, tmp_path):
+    """Before what is grouped by model is shuffled, a task has all runs of a model."""
+    tables = {
+        "lineitem": ("l_orderkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string", [(i, i % 3, 1.0, 9.0, "A", "F") for i in range(9)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderpriority string", [(i, 1, "5-LOW") for i in range(9)]), "customer": ("c_custkey long, c_mktsegment string", [(1, "x")]),
+        "supplier": ("s_suppkey long, s_name string, s_nationkey int", [(i, f"m{i}", 0) for i in range(3)]), "nation": ("n_nationkey int, n_name string", [(0, "n")]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = adapter.runs(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_suppkey" in plan and found.count() == 9
