@@ -60,3 +60,11 @@ def test_keyphrases(spark):
     for x in keyphrases(spark.createDataFrame(rows, "id long, t string"), "id", "t", 4).orderBy("id", "place").collect():
         got.setdefault(x.id, []).append((x.phrase, x.score, x.place))
     assert got == {i: found for i, t in texts.items() if (found := brute(t, 4, 4))}
+
+
+def test_phrases_of_texts_meet_in_one_shuffle(spark):
+    df = spark.createDataFrame([(1, "Great walls stand, great walls fall. Small hut"), (1, "great walls"), (2, None), (None, "great walls"), (3, "a b c")], "k long, t string")
+    out = keyphrases(df, "k", "t")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = [(r.k, r.phrase, r.score, r.place) for r in sorted(out.collect(), key=lambda r: r.place)]
+    assert got == [(1, "great walls fall", 8.333333, 1), (1, "great walls stand", 8.333333, 2), (1, "great walls", 5.333333, 3), (1, "small", 1.0, 4)]
