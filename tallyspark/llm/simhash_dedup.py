@@ -16,6 +16,8 @@ from .components import connected_components
 
 SHINGLE = 3
 SEED = 42
+#: Ids of rows that go, which are looked up by a broadcast up to this many (8 bytes each).
+BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -137,14 +139,25 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return first_of(c, key, text, first)
 
 
-def first_of(c: Carried, key: Column, text: Column, first: DataFrame) -> DataFrame:
+def first_of(c: Carried, key: Column, text: Column, first: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """The input's rows whose id is a `__first`, one for each; of null ids one for each distinct text.
 
-    Only rows whose id repeats, or is null, are ranked by their text."""
-    many = c.df.groupBy(key.alias("__id")).agg(F.count("*").alias("__n")).where((F.col("__n") > 1) | F.col("__id").isNull())
-    known = stored(first.join(many, F.col("__first").eqNullSafe(F.col("__id")), "left").select("__first", F.col("__n").isNotNull().alias("__rank")))
-    alone = c.df.join(known.where("not __rank"), key == F.col("__first"), "left_semi")
-    rows = c.df.join(known.where("__rank"), key.eqNullSafe(F.col("__first")), "left_semi")
+    Only rows whose id repeats, or is null, are ranked by their text.  Rows go by the ids that don't stay as they are, which are the few: up to
+    `broadcast_ids` of them are broadcast, and no text is shuffled; beyond that each row is shuffled once."""
+    ids = c.df.groupBy(key.alias("__id")).agg(F.count("*").alias("__n"))
+    stays = F.col("__first").isNotNull() | F.col("__null")
+    ids = ids.join(first.select("__first", F.col("__first").isNull().alias("__null")), F.col("__id").eqNullSafe(F.col("__first")), "left")
+    known = stored(ids.select("__id", ((F.col("__n") > 1) | F.col("__id").isNull()).alias("__rank"), F.coalesce(stays, F.lit(False)).alias("__stays")))
+    others, ranked = known.where("__rank or not __stays").select("__id"), known.where("__rank and __stays").select("__id")
+    few = others.count() <= broadcast_ids
+    if few:
+        alone = c.df.join(F.broadcast(others), key.eqNullSafe(F.col("__id")), "left_anti")
+        rows = c.df.join(F.broadcast(ranked), key.eqNullSafe(F.col("__id")), "left_semi")
+    else:
+        whole = c.df.join(known.hint("merge"), key.eqNullSafe(F.col("__id"))).where("__stays")
+        alone, rows = whole.where("not __rank").select(c.df.columns), whole.where("__rank").select(c.df.columns)
+    if ranked.isEmpty():
+        return c.restore(alone)
     place = F.row_number().over(Window.partitionBy(key, F.when(key.isNull(), text)).orderBy(text))
     return c.restore(alone.union(rows.withColumn("__place", place).where("__place = 1").drop("__place")))
 

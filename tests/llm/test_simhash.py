@@ -4,7 +4,8 @@ import numpy as np
 import xxhash
 
 from tallyspark.llm.components import connected_components
-from tallyspark.llm.simhash_dedup import fingerprint, keep_first, links, near_duplicates
+from tallyspark.llm.common import Carried, setting
+from tallyspark.llm.simhash_dedup import fingerprint, first_of, keep_first, links, near_duplicates
 
 
 def brute(text):
@@ -87,6 +88,21 @@ def test_one_of_each_group_stays(docs, prose):
     assert sorted(r.doc_id for r in keep_first(docs(rows)).collect()) == [1, 2, 9]
 
 
+def test_rows_stay_without_a_shuffle_of_texts(spark, docs):
+    """What goes is broadcast whatever its size on disk; beyond the limit each row is shuffled once, with the same result."""
+    rows = [(i, f"text {i}") for i in range(40)]
+    first = spark.createDataFrame([(i,) for i in range(0, 40, 2)] + [(None,)], "__first long")
+    for more, want in (([], 20), ([(2, "text 2"), (2, "a"), (3, "b"), (None, "n"), (None, "n"), (None, "m"), (None, None)], 23)):
+        c = Carried(docs(rows + more))
+        with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+            few, many = (first_of(c, c.col("doc_id"), c.col("text"), first, n) for n in (1000, 0))
+            plan = few._jdf.queryExecution().executedPlan().toString()
+            got = sorted(map(str, few.collect()))
+            assert got == sorted(map(str, many.collect())) and len(got) == want
+        assert more or "Exchange hashpartitioning" not in plan
+    assert {r.text for r in few.where("doc_id = 2").collect()} == {"a"}
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
