@@ -3,8 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.llm import near_copies
 from tallyspark.llm.components import connected_components
-from tallyspark.llm.near_copies import keep_first
+from tallyspark.llm.near_copies import indexed, keep_first
 from tallyspark.llm.set_links import linked, nodes_of, sets_of, sketches, small_batches
 
 
@@ -65,6 +66,25 @@ def test_long_lists_leave_no_link_out(spark, docs, rows, long_list):
     assert {i: found[i] for i in want} == want
 
 
+def test_the_index_of_simhashes_gives_candidates(spark, docs, rows, monkeypatch):
+    """Operator 8's index connects what is within two bits, and the stage compares what it connects."""
+    with small_batches(spark):
+        nodes = nodes_of(sketches(docs(rows), {"id": F.col("doc_id")}, F.col("text"), 5, bits=True), 0.8)
+        made = {r.node: r.fp for r in nodes.where("n > 0").collect()}
+        found = {r.node: r.component for r in connected_components(indexed(nodes)).collect()}
+    want = {i: i for i in made}
+    for a in sorted(made):
+        for b in made:
+            if a < b and ((made[a] ^ made[b]) & 2**64 - 1).bit_count() <= 2 and want[a] != want[b]:
+                p, q = sorted((want[a], want[b]))
+                want = {i: p if g == q else g for i, g in want.items()}
+    assert {i: found.get(i, i) for i in made} == want and len(set(want.values())) < len(made)
+    asked = []
+    monkeypatch.setattr(near_copies, "linked", lambda *a, near, **b: asked.append(near.count()) or linked(*a, near=near, **b))
+    keep_first(docs(rows)).count()
+    assert asked and asked[0] >= len(made) - len(set(want.values()))
+
+
 def test_odd_rows(odd):
     assert sorted(str(r.doc_id) for r in keep_first(odd).collect()) == ["0", "3", "5", "6", "8", "9", "None"]
     assert keep_first(odd.limit(0)).count() == 0
