@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm import near_copies
 from tallyspark.llm.components import connected_components
 from tallyspark.llm.near_copies import indexed, keep_first
-from tallyspark.llm.set_links import linked, nodes_of, sets_of, sketches, small_batches
+from tallyspark.llm.set_links import linked, nodes_of, sets_of, sketches, small_batches, with_most
 
 
 def shingles(t):
@@ -85,6 +85,14 @@ def test_the_index_of_simhashes_gives_candidates(spark, docs, rows, monkeypatch)
     assert asked and asked[0] >= len(made) - len(set(want.values()))
 
 
+def test_elements_that_others_have_are_counted_without_a_join_of_elements(spark):
+    sets = {1: [1, 2, 3], 2: [2, 3, 4], 3: [9, 10], 4: [3], 5: [11, 4]}
+    most = with_most(spark.createDataFrame(list(sets.items()), "node long, set array<long>"))
+    want = {i: sum(any(v in w for j, w in sets.items() if j != i) for v in x) for i, x in sets.items()}
+    assert {r.node: r.most for r in most.collect()} == want
+    assert "LeftSemi" not in most._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_odd_rows(odd):
     assert sorted(str(r.doc_id) for r in keep_first(odd).collect()) == ["0", "3", "5", "6", "8", "9", "None"]
     assert keep_first(odd.limit(0)).count() == 0
