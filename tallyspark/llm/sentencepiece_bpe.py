@@ -11,11 +11,11 @@ pass of an Aho-Corasick automaton.
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import ahocorasick
-import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -182,21 +182,24 @@ def _runs(found: list[str]) -> Iterator[str]:
             run += MARK
 
 
-_ENCODERS: dict[str, Encoder] = {}
 #: Texts that tell a model's settings: white space kept as it is, a mark before the first word, no normal forms, digits, bytes.  Another model is refused.
 PROBES = ["a", " a", "a ", "  a  b ", "a\tb\nc", "A", "\uff21\ufb01", "e\u0301 \u00e9", "12345 1 2", "<s> </s> <unk>", "\u6f22\U0001f600", MARK + "a" + MARK, "\u200b\u00a0x", "http://x.y/z?a=b&c"]
 
 
-def encoder(model: bytes) -> Encoder:
-    """One for each model and process."""
-    key = hashlib.sha256(model).hexdigest()
-    if key not in _ENCODERS:
-        made = Encoder(model)
+@dataclass
+class Shared:
+    """A model as it is broadcast.  A worker makes its encoder once for all tasks of a query; the encoder and its caches go with the broadcast,
+    when the worker gets a task of a query without it.  Kept by the process they would stay beside what later stages need."""
+
+    model: bytes
+
+    @cached_property
+    def encoder(self) -> Encoder:
+        made = Encoder(self.model)
         wrong = [t for t in PROBES if made.encode(t)[0] != made.library.encode(t)]
         if wrong:
             raise ValueError(f"this model treats texts in a way that is not provided for: {wrong[0]!r}")
-        _ENCODERS[key] = made
-    return _ENCODERS[key]
+        return made
 
 
 def model_bytes(model_file: str) -> bytes:
@@ -215,28 +218,17 @@ def encode_decode(docs: DataFrame, model_file: str, text_col: str = "text", ids:
     A model whose settings are others than those provided for is refused.
     """
     c = Carried(docs)
-    model = model_bytes(model_file)
-    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"token_ids": pa.list_(pa.int32())} if ids else {}) | ({"decoded": pa.string()} if texts else {})
+    held = docs.sparkSession.sparkContext.broadcast(Shared(model_bytes(model_file)))
     names = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"token_ids": "array<int>"} if ids else {}) | ({"decoded": "string"} if texts else {})
 
-    @F.arrow_udf(", ".join(f"{k} {v}" for k, v in names.items()))  # takes the text alone to Python
-    def run(column: pa.Array) -> pa.Array:
-        e = encoder(model)
-        made: dict[str, list] = {k: [] for k in kinds}
-        for t in column:
-            out, said = e.encode(t.as_py())
-            text = e.decode(out) if out else ""
-            row = {"n_tokens": len(out), "ids_sha256": hashlib.sha256(said.encode()).hexdigest(), "decoded_sha256": hashlib.sha256(text.encode()).hexdigest(), "token_ids": array("i", out), "decoded": text}
-            for k, values in made.items():
-                values.append(row[k])
-        if ids:
-            flat = array("i")
-            ends = [0]
-            for x in made["token_ids"]:
-                flat.extend(x)
-                ends.append(len(flat))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]))
-        return pa.StructArray.from_arrays([lists if k == "token_ids" else pa.array(made[k], kind) for k, kind in kinds.items()], names=list(kinds))
+    # Takes the text alone to Python, a hundred rows at a time: an Arrow batch would be 10,000 texts and their ids, several times over on either side.
+    @F.udf(", ".join(f"{k} {v}" for k, v in names.items()), useArrow=False)
+    def run(text: str | None) -> tuple:
+        e = held.value.encoder
+        found, said = e.encode(text)
+        decoded = e.decode(found) if found else ""
+        row = (len(found), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+        return row + ((found,) if ids else ()) + ((decoded,) if texts else ())
 
     out = c.df.withColumn("__out", run(c.col(text_col)))
     return c.restore(out, **{k: F.col("__out")[k] for k in names})

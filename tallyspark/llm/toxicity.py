@@ -26,7 +26,6 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -313,13 +312,13 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
     c = Carried(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("double")  # takes the text alone to Python and brings back a number; the other columns stay where they are
-    def score(texts: pa.Array) -> pa.Array:
-        cache: dict[str, float] = {}
-        out: list[float] = []
-        for at in range(0, len(texts), 256):
-            out += held.value.scores(texts[at : at + 256].to_pylist(), cache).tolist()
-        return pa.array(out, pa.float64())
+    cache: dict[str, float] = {}  # each task has its own
+
+    # Takes the text alone to Python and brings back a number; the other columns stay where they are.  A hundred rows go at a time: an Arrow
+    # batch would be 10,000 texts, several times over on either side.
+    @F.udf("double", useArrow=False)
+    def score(text: str | None) -> float:
+        return float(held.value.scores([text], cache)[0])
 
     out = c.df.withColumn("__score", score(c.col(text_col)))
     return c.restore(out, score="__score", predicted=(F.col("__score") >= 0.5).cast("int"))

@@ -50,3 +50,21 @@ def test_odd_rows(odd, encoder):
         want = encoder.library.encode(r.text or "")
         assert r.token_ids == want and r.n_tokens == len(want) and r.decoded == encoder.library.decode(want)
     assert encode_decode(odd.limit(0), public_model()).count() == 0
+
+
+def test_a_worker_lets_go_of_the_encoder(spark):
+    """Kept by the worker's process, caches of hundreds of MB stay beside what later stages need."""
+    from pyspark.sql import functions as F
+
+    @F.udf("int")
+    def alive(_):
+        import gc
+        import time
+
+        time.sleep(0.5)  # so that all workers are asked
+        return sum(type(x).__name__ == "Encoder" and hasattr(x, "automaton") for x in gc.get_objects())
+
+    rows = spark.range(0, 64, 1, 8)
+    assert encode_decode(rows.selectExpr("cast(id as string) text"), public_model()).count() == 64
+    assert encode_decode(rows.selectExpr("cast(id as string) text"), public_model()).agg(F.sum("n_tokens")).first()[0] > 64
+    assert [r[0] for r in spark.range(0, 8, 1, 8).select(alive("id")).collect()] == [0] * 8

@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm.toxicity import EXPLAINED, SPELLED, START, STOP, KneserNey, Model, fit, score_toxicity, tokens
 
@@ -144,3 +145,12 @@ def test_long_and_repeated_texts(spark, docs, corpus):
     model = fit(docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
     got = score_toxicity(docs([(1, "word " * 200_000), (2, rows[0][1]), (2, rows[0][1])]), model).collect()
     assert len(got) == 3 and got[1].score == got[2].score
+
+
+def test_equal_texts_have_equal_scores_wherever_they_stand(spark, docs, corpus):
+    """To the last bit: a text is scored by itself, not by differences of sums over the texts before it."""
+    rows, labels = corpus
+    model = fit(docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    some = [t for _, t in rows[:40]]
+    scored = score_toxicity(docs(list(enumerate(some * 6))).coalesce(1), model)
+    assert scored.groupBy("text").agg(F.count_distinct("score").alias("n")).where("n > 1").count() == 0
